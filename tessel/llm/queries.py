@@ -6,16 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from tessel.llm import byte_bpe, quality_rules, sharding, token_files
 from tessel.llm.common import read
 from tessel.llm.near_dup import near_duplicates
 from tessel.session import ship
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(read(ship(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_token_files(manifest)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(read(spark, sf_dir, "documents"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read(ship(spark), sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(ship(spark), sf_dir, "documents"), width=2, percent=80)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op7_sharding": op7_sharding,
     "op10_near_dup": op10_near_dup,
 }
 

@@ -1,4 +1,4 @@
-"""Words, shingles, MinHash samples and odd sketches of whole texts, vectorised with Arrow and numpy."""
+"""Words, shingles, MinHash samples and odd sketches of whole texts, vectorised with numpy."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -22,21 +20,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FOLD)
+_BASE = 0xD6E8FEB86659FD93
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 20)
+        _powers[:] = [np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)]).cumprod(dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def text_bytes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of the texts in a row, nulls empty, A-Z lower-cased, and each text's bounds in them."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.empty(0, np.uint8)
+    return (_LOWER[held] if lower else held), bounds - bounds[0]
+
+
+def spans_hashes(held: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of held[begin:end], by prefix sums of a polynomial in random byte values."""
+    up, down = powers(len(held) + 1)
+    sums = np.empty(len(held) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[held] * up[: len(held)], out=sums[1:])
+    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+
+
+def word_spans(held: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the words between ASCII white space, and each text's bounds in them."""
+    ink = np.zeros(len(held) + 2, bool)
+    ink[1:-1] = ~_BLANK[held]
+    # A text's end ends its last word: edges are looked for with a blank between texts.
+    begin, end = ink[1:-1] & ~ink[:-2], ink[1:-1] & ~ink[2:]
+    cut = bounds[1:-1]
+    cut = cut[(cut > 0) & (cut < len(held))]
+    begin[cut] = ink[1:-1][cut]
+    end[cut - 1] = ink[1:-1][cut - 1]
+    begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return begins, ends, np.searchsorted(begins, bounds)
+
+
 def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in a row, and each text's bounds in them (one more than texts)."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-    flat, bounds = lists.flatten(), np.asarray(lists.offsets)
-    bounds = bounds - bounds[0]
-    full = np.asarray(pc.binary_length(flat)) > 0
-    if not full.all():
-        bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
-        flat = flat.filter(pa.array(full))
-    if not len(flat):
-        return np.empty(0, np.uint64), bounds
-    coded = flat.dictionary_encode()
-    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[np.asarray(coded.indices)], bounds
+    held, bounds = text_bytes(texts, lower)
+    begins, ends, at = word_spans(held, bounds)
+    return spans_hashes(held, begins, ends), at
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
@@ -57,7 +96,8 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     every = windows(words, width)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= width:
-            yield np.unique(every[a : b - width + 1])
+            found = np.sort(every[a : b - width + 1])
+            yield found[np.concatenate([[True], found[1:] != found[:-1]])]
         elif b > a:
             acc = np.uint64(b - a)
             with np.errstate(over="ignore"):
