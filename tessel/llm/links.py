@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import drop, written
+from tessel.llm.common import drop, release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -55,9 +55,10 @@ def linked(
 ) -> DataFrame:
     """All verified links, up to transitive ones, between nodes that share a band: (a, b), a < b.
 
-    nodes: id (distinct), bands array<long>, sketch array<long>, a written table. grams(ids) gives (id,
-    grams array<long>, distinct hashes) for a table of ids. test(shared, size_a, size_b) decides on exact
-    sizes. Pairs whose odd sketches differ in more than most_odd bits are not verified.
+    nodes: id, bands array<long>, sketch array<long>, a written table; it is dropped once it has been read. An id
+    may have several equal rows, as many as tasks met it. grams(ids) gives (id, grams array<long>, distinct
+    hashes) for a table of ids. test(shared, size_a, size_b) decides on exact sizes. Pairs whose odd sketches
+    differ in more than most_odd bits are not verified.
     """
     near = _close(most_odd)
     members = nodes.select("id", F.explode("bands").alias("key"))
@@ -65,17 +66,21 @@ def linked(
     shared = (
         members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)})
         .where("lo < hi")
+        .distinct()
     )
     shared = written(shared, "shared")
+    release(shared)
     star = shared.select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).unionByName(
         shared.select(F.least("id", "hi").alias("a"), F.greatest("id", "hi").alias("b"))
     )
-    sketches = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sketch"), "sketches")
+    sketches = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]), "sketches")
+    drop(nodes)
     pairs = star.where("a < b").distinct()
     pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = written(pairs.where(near("sa", "sb")).select("a", "b"), "pairs")
     # The sets of all that share a band with a similar text may be asked for again below: made once.
     sets = written(grams(_ends(pairs)), "sets")
+    release(sets)
     links = written(_verified(pairs, sets, test), "verified")
 
     # What the stars left apart: members of one bucket that are in different components.

@@ -76,7 +76,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
     links = linked(nodes, grams, test, hasher.most_odd(percent / 100 - MARGIN))
-    drop(nodes)
     root = components(links).withColumnRenamed("id", "node")
     home = owner.join(root, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
     out = member.join(home, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("id")).alias("root"))

@@ -22,8 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+#: All ASCII but letters and digits.
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _FOLD)
 _BASE = 0xD6E8FEB86659FD93
 _powers: list[np.ndarray] = []
@@ -48,19 +50,23 @@ def text_bytes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     return (_LOWER[held] if lower else held), bounds - bounds[0]
 
 
-def spans_hashes(held: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of held[begin:end], by prefix sums of a polynomial in random byte values."""
-    up, down = powers(len(held) + 1)
-    sums = np.empty(len(held) + 1, np.uint64)
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial in 64-bit values, before each place and at the end."""
+    sums = np.empty(len(values) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[held] * up[: len(held)], out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    np.cumsum(values * powers(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
 
 
-def word_spans(held: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins and ends of the words between ASCII white space, and each text's bounds in them."""
+def spans_hashes(sums: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of what prefix_sums() has read."""
+    return mix((sums[ends] - sums[begins]) * powers(len(sums))[1][begins] + (ends - begins).astype(np.uint64))
+
+
+def word_spans(held: np.ndarray, bounds: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the words between blank bytes (ASCII white space), and each text's bounds in them."""
     ink = np.zeros(len(held) + 2, bool)
-    ink[1:-1] = ~_BLANK[held]
+    ink[1:-1] = ~blank[held]
     # A text's end ends its last word: edges are looked for with a blank between texts.
     begin, end = ink[1:-1] & ~ink[:-2], ink[1:-1] & ~ink[2:]
     cut = bounds[1:-1]
@@ -71,11 +77,11 @@ def word_spans(held: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return begins, ends, np.searchsorted(begins, bounds)
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower: bool = True, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in a row, and each text's bounds in them (one more than texts)."""
     held, bounds = text_bytes(texts, lower)
-    begins, ends, at = word_spans(held, bounds)
-    return spans_hashes(held, begins, ends), at
+    begins, ends, at = word_spans(held, bounds, blank)
+    return spans_hashes(prefix_sums(_BYTE[held]), begins, ends), at
 
 
 def windows(words: np.ndarray, width: int) -> np.ndarray:
