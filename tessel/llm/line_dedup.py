@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import NO_ID, chunks, fresh, written
+from tessel.llm.common import NO_ID, chunks, fresh, let, written
 from tessel.llm.links import components, linked
 from tessel.llm.near_dup import _lists
 from tessel.llm.shingles import MinHash, mix, powers, prefix_sums, spans_hashes
@@ -26,9 +26,10 @@ from tessel.llm.shingles import MinHash, mix, powers, prefix_sums, spans_hashes
 #: Characters in a shingle; a shorter line is one shingle.
 WIDTH = 12
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 3) ** 12, 2 in 10,000; of 0.9, 1 in 10 million.
-BANDS, ROWS, BITS = 12, 3, 256
-#: Sketches only turn away pairs far below the least similarity.
-MARGIN = 0.35
+BANDS, ROWS = 12, 3
+#: Samples and bits of the sketches of candidate lines, which turn away pairs well below the least similarity.
+SAMPLES, BITS = 256, 512
+MARGIN = 0.14
 #: Nodes that a task remembers to have sent.
 SENT = 500_000
 
@@ -73,7 +74,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     100 * shared >= percent * united shingles; of a component the line with the least (doc_id, number) stays, a null
     doc_id being least. Repeated rows have the same lines at the same place and share their fate.
     """
-    hasher = MinHash(BANDS, ROWS, BITS, seed=9)
+    hasher, sketcher = MinHash(BANDS, ROWS, seed=9), MinHash(SAMPLES, 1, BITS, seed=10)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +94,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             new = np.array([n not in sent and not sent.add(n) for n in names.tolist()])
             docs_ = np.asarray(part.column("doc"))[text]
             counts = new.astype(np.int32)
-            keys, odd = hasher.band_keys(samples[new]), hasher.odd_sketches(samples[new])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(docs_), pa.array(number), _some(keys, counts), _some(odd, counts)], ["id", "doc", "line", "bands", "sketch"]
+                [pa.array(names), pa.array(docs_), pa.array(number), _some(hasher.band_keys(samples[new]), counts)], ["id", "doc", "line", "bands"]
             )
 
-    signs = written(texts.mapInArrow(signed, "id long, doc long, line long, bands array<long>, sketch array<long>"), "line_signs")
+    signs = written(texts.mapInArrow(signed, "id long, doc long, line long, bands array<long>"), "line_signs")
     seen = written(signs.select("id", "doc", "line"), "lines")
-    nodes = signs.where("bands is not null").select("id", "bands", "sketch")
+    nodes = signs.where("bands is not null").select("id", "bands")
     nodes.tessel_path = signs.tessel_path
 
     def grams(ids: DataFrame) -> DataFrame:
@@ -123,14 +123,15 @@ def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
                         found.append(np.unique(every[bounds[k] : bounds[k + 1]]).view(np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
                 values = np.concatenate(found) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
+                odd = sketcher.odd_sketches(np.array([sketcher.samples(g.view(np.uint64)) for g in found]).reshape(-1, SAMPLES))
+                yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
 
-        return texts.join(wanted, "doc").select("text", "ids").mapInArrow(sets, "id long, grams array<long>").dropDuplicates(["id"])
+        return texts.join(wanted, "doc").select("text", "ids").mapInArrow(sets, "id long, grams array<long>, sketch array<long>").dropDuplicates(["id"])
 
     def test(shared, a, b):
         return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
-    links = linked(nodes, grams, test, hasher.most_odd(percent / 100 - MARGIN))
+    links = linked(nodes, grams, test, sketcher.most_odd(percent / 100 - MARGIN))
     root = written(components(links), "line_roots")
     group = seen.join(root, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc", "line")
     first = group.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
@@ -169,19 +170,12 @@ def drop_duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     id_, gone = fresh(docs, "_doc", "_gone")
     lost = duplicate_lines(docs, percent).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(gone))
     both = docs.join(lost, docs["doc_id"].eqNullSafe(F.col(id_)), "left")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(F.split("text", "\n")).cast("long") - 1), F.col(gone)), lambda i: F.get(F.split("text", "\n"), i.cast("int"))), "\n")
     lines = F.split("text", "\n")
     at = F.array_except(F.transform(lines, lambda _, i: i.cast("long")), F.col(gone))
-    kept = F.array_join(F.transform(F.arrays_zip(lines.alias("x"), F.transform(lines, lambda _, i: F.array_contains(F.col(gone), i.cast("long"))).alias("d")), lambda s: s), "\n") if False else _less(lines, at)
+    kept = let(lines, lambda x: F.array_join(F.transform(at, lambda i: F.get(x, i.cast("int"))), "\n"))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
     out = both.withColumn("text", text).where(F.col(gone).isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
-
-def _less(lines, at) -> F.Column:
-    """The lines at the given places, joined; the split is made once."""
-    from tessel.llm.common import let
-
-    return let(lines, lambda x: F.array_join(F.transform(at, lambda i: F.get(x, i.cast("int"))), "\n"))

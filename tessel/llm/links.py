@@ -55,69 +55,70 @@ def linked(
 ) -> DataFrame:
     """All verified links, up to transitive ones, between nodes that share a band: (a, b), a < b.
 
-    nodes: id, bands array<long>, sketch array<long>, a written table; it is dropped once it has been read. An id
-    may have several equal rows, as many as tasks met it. grams(ids) gives (id, grams array<long>, distinct
-    hashes) for a table of ids. test(shared, size_a, size_b) decides on exact sizes. Pairs whose odd sketches
-    differ in more than most_odd bits are not verified.
+    nodes: id, bands array<long>, a written table; it is dropped once it has been read. An id may have several equal
+    rows, as many as tasks met it. grams(ids) gives (id, grams array<long>, distinct hashes; sketch array<long>) for
+    a table of ids. test(shared, size_a, size_b) decides on exact sizes. Pairs whose odd sketches differ in more
+    than most_odd bits are never verified; of the others each node's likeliest pairs come first, and a pair whose
+    ends have meanwhile been connected is not looked at again. No pair that could still connect is left out.
     """
-    near = _close(most_odd)
     members = nodes.select("id", F.explode("bands").alias("key"))
     key = Window.partitionBy("key")
-    shared = (
-        members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)})
-        .where("lo < hi")
-        .distinct()
-    )
-    shared = written(shared, "shared")
-    release(shared)
-    star = shared.select(F.least("id", "lo").alias("a"), F.greatest("id", "lo").alias("b")).unionByName(
-        shared.select(F.least("id", "hi").alias("a"), F.greatest("id", "hi").alias("b"))
-    )
-    sketches = written(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]), "sketches")
+    shared = members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)}).where("lo < hi").distinct()
+    shared = written(shared.select("key", "id", "lo"), "shared")
     drop(nodes)
-    pairs = star.where("a < b").distinct()
-    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = written(pairs.where(near("sa", "sb")).select("a", "b"), "pairs")
-    # The sets of all that share a band with a similar text may be asked for again below: made once.
-    sets = written(grams(_ends(pairs)), "sets")
+    release(shared)
+    sets = written(grams(shared.select("id").distinct()), "sets")
     release(sets)
-    links = written(_verified(pairs, sets, test), "verified")
+    sketches = written(sets.select("id", "sketch"), "sketches")
+
+    # Stars: each member with the least of its bucket.
+    star = shared.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = written(star.select("a", "b", _apart("sa", "sb").alias("odd")).where(F.col("odd") <= most_odd), "stars")
+    tested = written(_likeliest(pairs, 2), "pairs")
+    links = written(_verified(tested, sets, test), "verified")
+    release(links)
 
     # What the stars left apart: members of one bucket that are in different components.
     root = components(links)
     label = shared.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     apart = label.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    open_ = label.join(apart, "key").join(sketches, "id").select("key", "id", "root", "sketch")
-    open_ = written(open_, "open")
+    open_ = written(label.join(apart, "key").join(sketches, "id").select("key", "id", "root", "sketch"), "open")
     x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "sketch")]) for s in "xy")
+    odd = _apart("sketch_x", "sketch_y")
     rest = (
-        x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & near("sketch_x", "sketch_y"))
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+        x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & (odd <= most_odd))
+        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), odd.alias("odd"))
         .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
     )
-    rest = written(rest, "rest")
+    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     drop(open_)
     drop(shared)
-    if not rest.isEmpty():
-        more = _ends(rest).join(sets.select("id"), "id", "left_anti")
-        more = written(more, "more")
-        if not more.isEmpty():
-            sets = sets.unionByName(written(grams(more), "sets2"))
-        links = links.unionByName(written(_verified(rest, sets, test), "verified2"))
+    for most in (2, 16, None):
+        if rest.isEmpty():
+            break
+        tested = written(_likeliest(rest, most) if most else rest.select("a", "b"), "pairs")
+        links = links.unionByName(written(_verified(tested, sets, test), "verified"))
+        if most:
+            root = components(links)
+            for end in "ab":
+                rest = rest.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            left = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "odd")
+            rest = written(left.join(tested, ["a", "b"], "left_anti"), "rest")
     return links
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-
+def _likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """(a, b): for each node its pairs with the fewest odd bits. A window that keeps so few rows of a node ranks them before the shuffle too."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "odd").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "odd"))
+    rank = Window.partitionBy("u").orderBy("odd", "v")
+    best = both.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= most)
+    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
-def _close(most_odd: int):
-    def near(p: str, q: str) -> F.Column:
-        odd = F.aggregate(F.zip_with(p, q, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
-        return odd <= most_odd
 
-    return near
+def _apart(p: str, q: str) -> F.Column:
+    """The XOR population count of two sketches."""
+    return F.aggregate(F.zip_with(p, q, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:

@@ -24,9 +24,11 @@ from tessel.llm.links import components, linked
 from tessel.llm.shingles import MinHash, shingle_sets
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 6 in a million.
-BANDS, ROWS, BITS = 40, 6, 1024
+BANDS, ROWS = 40, 6
+#: Samples and bits of the odd sketch, made of the texts that share a band.
+SAMPLES, BITS = 1024, 2048
 #: The sketch keeps a pair unless its estimate is this far below the least similarity: over four standard deviations.
-MARGIN = 0.12
+MARGIN = 0.07
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -38,7 +40,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     document. Repeated rows share their doc_id and so their component; a null doc_id sorts first.
     An empty table gives an empty one; other columns, whatever their names, are ignored.
     """
-    spark, hasher = docs.sparkSession, MinHash(BANDS, ROWS, BITS)
+    hasher, sketcher = MinHash(BANDS, ROWS), MinHash(SAMPLES, 1, BITS, seed=2)
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,15 +52,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 rows.append(hasher.samples(grams) if len(grams) else np.zeros(hasher.count, np.uint32))
             table = np.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _lists(hasher.band_keys(table)), _lists(hasher.odd_sketches(table))],
-                ["id", "n_shingles", "set_hash", "bands", "sketch"],
+                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _lists(hasher.band_keys(table))],
+                ["id", "n_shingles", "set_hash", "bands"],
             )
 
-    signs = written(texts.mapInArrow(signed, "id long, n_shingles long, set_hash binary, bands array<long>, sketch array<long>"), "signs")
+    signs = written(texts.mapInArrow(signed, "id long, n_shingles long, set_hash binary, bands array<long>"), "signs")
     owner = signs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("node"))
     owner = written(owner, "owners")
     first = owner.select(F.col("node").alias("id"), "set_hash")
-    nodes = written(signs.join(first, ["id", "set_hash"], "left_semi").select("id", "bands", "sketch").dropDuplicates(["id"]), "nodes")
+    nodes = written(signs.join(first, ["id", "set_hash"], "left_semi").select("id", "bands"), "nodes")
     member = written(signs.select("id", "n_shingles", "set_hash"), "member")
     drop(signs)
 
@@ -68,14 +70,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 found = list(shingle_sets(part.column("text"), width))
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
                 values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "grams"])
+                odd = sketcher.odd_sketches(np.array([sketcher.samples(g, 256) if len(g) else np.zeros(SAMPLES, np.uint32) for g in found]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
 
-        return texts.join(ids, "id", "left_semi").mapInArrow(sets, "id long, grams array<long>")
+        # Copies need no set of their own: only texts that own a set are made again.
+        own = texts.join(ids, "id", "left_semi")
+        return own.mapInArrow(sets, "id long, grams array<long>, sketch array<long>").dropDuplicates(["id"])
 
     def test(shared, a, b):
         return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
-    links = linked(nodes, grams, test, hasher.most_odd(percent / 100 - MARGIN))
+    links = linked(nodes, grams, test, sketcher.most_odd(percent / 100 - MARGIN))
     root = components(links).withColumnRenamed("id", "node")
     home = owner.join(root, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
     out = member.join(home, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("id")).alias("root"))

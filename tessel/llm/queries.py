@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tessel.llm import byte_bpe, quality_rules, sharding, token_files
+from tessel.llm import byte_bpe, decontaminate, line_dedup, quality_rules, sharding, token_files
 from tessel.llm.common import read
 from tessel.llm.near_dup import near_duplicates
 from tessel.session import ship
@@ -31,6 +31,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(ship(spark), sf_dir, "documents"))
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(ship(spark), sf_dir, "documents"), width=2, percent=80)
 
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_sharding": op7_sharding,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_near_dup": op10_near_dup,
 }
 

@@ -117,7 +117,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 class MinHash:
     """count samples a set; rows samples make a band; an odd sketch of bits parities over all samples."""
 
-    def __init__(self, bands: int, rows: int, bits: int, seed: int = 1) -> None:
+    def __init__(self, bands: int, rows: int, bits: int = 0, seed: int = 1) -> None:
         self.bands, self.rows, self.bits = bands, rows, bits
         rng = np.random.default_rng(seed)
         self.count = bands * rows
