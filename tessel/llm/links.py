@@ -83,13 +83,14 @@ def linked(
     root = components(links)
     label = shared.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     apart = label.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    open_ = written(label.join(apart, "key").join(sketches, "id").select("key", "id", "root", "sketch"), "open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "sketch")]) for s in "xy")
+    held = label.join(apart, "key").groupBy("id", "root").agg(F.collect_set("key").alias("keys"))  # at most the bands of one node
+    open_ = written(held.join(sketches, "id").select(F.explode("keys").alias("key"), "id", "root", "keys", "sketch"), "open")
+    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "keys", "sketch")]) for s in "xy")
     odd = _apart("sketch_x", "sketch_y")
-    rest = (
-        x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & (odd <= most_odd))
-        .select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), odd.alias("odd"))
-        .distinct()
+    # A pair of several common bands is made in the least of them only.
+    once = x.key == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    rest = x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & (odd <= most_odd) & once).select(
+        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), odd.alias("odd")
     )
     rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     drop(open_)
