@@ -1,7 +1,7 @@
 """Verified links from shared bands, and components of links, as distributed tables.
 
 Nothing here holds a group in one task: a bucket of equal band keys is reduced by map-side combined
-aggregates, pairs are stars around two members of the bucket, and only what the stars leave apart is
+aggregates, pairs are stars around one member of the bucket, and only what the stars leave apart is
 compared further, inside a join whose condition tests the sketches before a row is made.
 """
 
@@ -63,16 +63,19 @@ def linked(
     """
     members = nodes.select("id", F.explode("bands").alias("key"))
     key = Window.partitionBy("key")
-    shared = members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key)}).where("lo < hi").distinct()
-    shared = written(shared.select("key", "id", "lo"), "shared")
+    shared = members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key), "n": F.count("*").over(key)}).where("lo < hi").distinct()
+    shared = written(shared.select("key", "id", "n"), "shared")
     drop(nodes)
     release(shared)
     sets = written(grams(shared.select("id").distinct()), "sets")
     release(sets)
     sketches = written(sets.select("id", "sketch"), "sketches")
 
-    # Stars: each member with the least of its bucket.
-    star = shared.where("lo < id").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    # Stars: each member with the member of its bucket that meets most others in all buckets. The original of many
+    # copies is such a one, so that their buckets have one hub and a copy has one pair.
+    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    hub = shared.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
+    star = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = written(star.select("a", "b", _apart("sa", "sb").alias("odd")).where(F.col("odd") <= most_odd), "stars")
     tested = written(_likeliest(pairs, 2), "pairs")
