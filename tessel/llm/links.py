@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tessel.llm.common import drop, release, written
 
 
+#: Distinct hashes of a set that goes along whole where many are compared.
+SMALL = 200
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) -> (id, root): each linked id with the smallest id of its component.
 
@@ -36,6 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         drop(edges)
         edges, before, state = nxt, state, _digest(nxt)
         if state == before:
+            release(edges)
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
@@ -78,7 +83,10 @@ def linked(
     star = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = written(star.select("a", "b", _apart("sa", "sb").alias("odd")).where(F.col("odd") <= most_odd), "stars")
+    del star, hub, met
     tested = written(_likeliest(pairs, 2), "pairs")
+    drop(pairs)
+    drop(sketches)
     links = written(_verified(tested, sets, test), "verified")
     release(links)
 
@@ -87,28 +95,39 @@ def linked(
     label = shared.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     apart = label.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
     held = label.join(apart, "key").groupBy("id", "root").agg(F.collect_set("key").alias("keys"))  # at most the bands of one node
-    open_ = written(held.join(sketches, "id").select(F.explode("keys").alias("key"), "id", "root", "keys", "sketch"), "open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "keys", "sketch")]) for s in "xy")
-    odd = _apart("sketch_x", "sketch_y")
+    # A small set goes along whole and is compared exactly inside the join; a large one is judged by its sketch there.
+    # Sets of which one is small and one large enough to have no place here are too unlike in size.
+    size = F.size("grams")
+    proofs = sets.select("id", size.alias("size"), F.when(size <= SMALL, F.col("grams")).alias("proof"), F.when(size > SMALL * 0.75, F.col("sketch")).alias("sketch"))
+    open_ = written(held.join(proofs, "id").select(F.explode("keys").alias("key"), "id", "root", "keys", "size", "proof", "sketch"), "open")
+    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "keys", "size", "proof", "sketch")]) for s in "xy")
+    odd = F.coalesce(_apart("sketch_x", "sketch_y"), F.lit(0))
+    exact = test(F.size(F.array_intersect("proof_x", "proof_y")), F.col("size_x"), F.col("size_y"))
+    close = test(F.least("size_x", "size_y"), F.col("size_x"), F.col("size_y"))
+    small = F.col("proof_x").isNotNull() & F.col("proof_y").isNotNull()
     # A pair of several common bands is made in the least of them only.
     once = x.key == F.array_min(F.array_intersect("keys_x", "keys_y"))
-    rest = x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & (odd <= most_odd) & once).select(
+    fits = F.when(small, exact).otherwise(odd <= most_odd)
+    rest = x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & close & fits & once).select(
         F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), odd.alias("odd")
     )
     rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     drop(open_)
     drop(shared)
+    release(rest)
     for most in (2, 16, None):
         if rest.isEmpty():
             break
         tested = written(_likeliest(rest, most) if most else rest.select("a", "b"), "pairs")
         links = links.unionByName(written(_verified(tested, sets, test), "verified"))
+        release(links)
         if most:
             root = components(links)
             for end in "ab":
                 rest = rest.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
             left = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "odd")
             rest = written(left.join(tested, ["a", "b"], "left_anti"), "rest")
+    drop(sets)
     return links
 
 
