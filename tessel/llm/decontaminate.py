@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from tessel.llm.common import chunks, without
 from tessel.llm.shingles import _FOLD, NOT_WORD, mix, word_hashes
 
-#: Eight tokens each: one run, and three ways to pick them from twelve.
-MASKS = ("11111111", "110101101101", "111001010111", "110110010111")
+#: Six tokens each. Every overlap, wherever its substitutions are, has a window that agrees under one of these: a stretch
+#: of 24 tokens or more has a half that is an overlap too, and the shorter ones were all tried.
+MASKS = ("1101111", "111010011", "11100100011")
 #: An overlap has at least so many equal tokens, and so many of 100 in its stretch. An item with fewer tokens matches whole.
 LEAST_EQUAL, LEAST_PERCENT = 10, 80
 #: Items with fewer tokens say too little to be searched for.
@@ -94,16 +95,21 @@ class Block:
 
 
 def _stretch(equal: np.ndarray, whole: int) -> tuple[int, int, int] | None:
-    """(first, length, equal tokens) of the stretch with the most by one for an equal token and minus four for another, if it is an overlap.
+    """(first, length, equal tokens) of the stretch with the most equal tokens among those with LEAST_PERCENT of 100 equal, if it is an overlap.
 
-    At these marks a stretch with a positive sum has over 80 of 100 tokens equal.
+    An equal token marks one and another marks minus four, so the stretches in question are those with a sum of 0 or more.
     """
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -(LEAST_PERCENT // (100 - LEAST_PERCENT))))])
-    least = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - least))
-    begin = int(np.argmin(sums[: end + 1]))
-    n = int(equal[begin:end].sum())
-    return (begin, end - begin, n) if n >= min(LEAST_EQUAL, whole) else None
+    marks = np.where(equal, 1, -(LEAST_PERCENT // (100 - LEAST_PERCENT)))
+    sums, counts = (np.concatenate([[0], np.cumsum(x)]) for x in (marks, equal))
+    # For each end the first begin whose sum is not above the end's.
+    begins = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    held = counts - counts[begins]
+    end = int(np.argmax(held))
+    n = int(held[end])
+    if n < min(LEAST_EQUAL, whole):
+        return None
+    inside = np.flatnonzero(equal[begins[end] : end])
+    return int(begins[end] + inside[0]), int(inside[-1] - inside[0] + 1), n
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Block]:

@@ -1,12 +1,15 @@
 """Near-duplicates, line dedup, decontamination and the pipeline against brute force."""
 
 import collections
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from fixtures import DOCS, clashing, components, edge_rows, family_rows, prose, words
 
 from tessel.llm import decontaminate, line_dedup, near_dup
+from tessel.llm.shingles import NOT_WORD, word_hashes
 from tessel.session import ship
 
 
@@ -149,6 +152,20 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_every_lawful_overlap_is_found():
+    """All places of substitutions in passages of 10 to 20 tokens, against the law in brute force, seeds included."""
+    law = lambda e: any(sum(e[i:j]) >= 10 and 5 * sum(e[i:j]) >= 4 * (j - i) for i in range(len(e)) for j in range(i + 10, len(e) + 1))
+    for n, k in ((10, 0), (10, 1), (11, 1), (12, 1), (12, 2), (15, 3), (16, 2), (16, 3), (20, 3), (20, 4)):
+        item = [f"t{i}" for i in range(n)]
+        block = decontaminate.Block([1], [" ".join(item)])
+        ways = list(itertools.combinations(range(n), k))
+        texts = [" ".join(f"s{i}" if i in way else w for i, w in enumerate(item)) for way in ways]
+        found = block.overlaps(*word_hashes(pa.array(texts), blank=NOT_WORD))
+        for way, got in zip(ways, found, strict=True):
+            assert bool(got) == law([i not in way for i in range(n)]), (n, way)
+            assert all(o["n_equal"] >= 10 and 5 * o["n_equal"] >= 4 * o["n_words"] for o in got)
+
+
 def test_overlap_blocks_add_up(spark, monkeypatch):
     rng = random.Random(14)
     items = [(i, prose(rng, 30, 10**6)) for i in range(12)]
