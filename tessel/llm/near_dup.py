@@ -5,8 +5,9 @@ into an odd sketch, a bitmap of parities, whose XOR population count estimates h
 most precisely where the similarity is high. Texts that share a band key become candidates, the sketches
 drop the unlike ones, and the full sets decide. Components of links are the groups.
 
-Texts with equal sets are one node, so copies cost one row each and make no pairs. The text itself moves
-through one shuffle, and only to verify candidates.
+Texts with equal sets are one node, named by a 64-bit hash of the set, so copies cost one row each and make no pairs.
+A doc_id names no text: rows that share one, or have none, are told apart by their texts. The text itself moves through
+one shuffle, and only to verify candidates.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import NO_ID, chunks, drop, fresh, without, written
+from tessel.llm.common import NO_ID, chunks, drop, fresh, written
 from tessel.llm.links import components, linked
 from tessel.llm.shingles import MinHash, shingle_sets
 
@@ -29,6 +30,8 @@ BANDS, ROWS = 40, 6
 SAMPLES, BITS = 1024, 2048
 #: The sketch keeps a pair unless its estimate is this far below the least similarity: over four standard deviations.
 MARGIN = 0.07
+#: Nodes that a task remembers to have sent.
+SENT = 500_000
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -37,32 +40,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Links join texts whose sets of width-word shingles (words between ASCII white space, A-Z lower-cased)
     meet 100 * shared >= percent * united. A text of fewer words is one shingle; null and empty texts have
     none and link with nothing. component_id is the smallest doc_id that links reach; kept marks that
-    document. Repeated rows share their doc_id and so their component; a null doc_id sorts first.
-    An empty table gives an empty one; other columns, whatever their names, are ignored.
+    document, and of several unlike sets under that doc_id one. Repeated rows share their component; rows with one
+    doc_id, or none, and unlike texts do not. A null doc_id sorts first. An empty table gives an empty one; other
+    columns, whatever their names, are ignored.
     """
+    name = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias
+    return _judged(docs, width, percent).select(name("id")("doc_id"), "n_shingles", name("root")("component_id"), "kept")
+
+
+def _row(docs: DataFrame) -> list:
+    """What tells rows apart: the doc_id, NO_ID for null, and a hash of the text."""
+    return [F.coalesce("doc_id", F.lit(NO_ID)), F.xxhash64("text")]
+
+
+def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, digest, node, n_shingles, root, kept), a row for each row of docs; id and digest are those of _row, root is an id."""
     hasher, sketcher = MinHash(BANDS, ROWS), MinHash(SAMPLES, 1, BITS, seed=2)
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    id_, digest = _row(docs)
+    texts = docs.select(id_.alias("id"), digest.alias("digest"), "text")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for part in chunks(batches, "text"):
             sizes, names, rows = [], [], []
+            if len(sent) > SENT:
+                sent.clear()
             for grams in shingle_sets(part.column("text"), width):
                 sizes.append(len(grams))
-                names.append(xxhash.xxh3_128_digest(grams.tobytes()))
-                rows.append(hasher.samples(grams) if len(grams) else np.zeros(hasher.count, np.uint32))
-            table = np.array(rows)
+                names.append(xxhash.xxh3_64_intdigest(grams.tobytes()))
+                if len(grams) and names[-1] not in sent:
+                    sent.add(names[-1])
+                    rows.append((len(names) - 1, hasher.samples(grams)))
+            new = np.zeros(len(names), np.int32)
+            new[[k for k, _ in rows]] = 1
+            bands = hasher.band_keys(np.array([r for _, r in rows], np.uint32).reshape(-1, hasher.count))
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _lists(hasher.band_keys(table))],
-                ["id", "n_shingles", "set_hash", "bands"],
+                [part.column("id"), part.column("digest"), pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), _some(bands, new)],
+                ["id", "digest", "n_shingles", "node", "bands"],
             )
 
-    signs = written(texts.mapInArrow(signed, "id long, n_shingles long, set_hash binary, bands array<long>"), "signs")
-    owner = signs.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("node"))
-    owner = written(owner, "owners")
-    first = owner.select(F.col("node").alias("id"), "set_hash")
-    nodes = written(signs.join(first, ["id", "set_hash"], "left_semi").select("id", "bands"), "nodes")
-    member = written(signs.select("id", "n_shingles", "set_hash"), "member")
-    drop(signs)
+    signs = written(texts.mapInArrow(signed, "id long, digest long, n_shingles long, node long, bands array<long>"), "signs")
+    member = written(signs.drop("bands"), "member")
+    owner = written(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first")), "owners")
+    nodes = signs.where("bands is not null").select(F.col("node").alias("id"), "bands")
+    nodes.tessel_path = signs.tessel_path
 
     def grams(ids: DataFrame) -> DataFrame:
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,21 +92,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
                 values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
                 odd = sketcher.odd_sketches(np.array([sketcher.samples(g, 256) if len(g) else np.zeros(SAMPLES, np.uint32) for g in found]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
 
         # Copies need no set of their own: only texts that own a set are made again.
-        own = texts.join(ids, "id", "left_semi")
+        own = owner.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "first.id", "first.digest")
+        own = texts.join(own, ["id", "digest"]).select("node", "text")
         return own.mapInArrow(sets, "id long, grams array<long>, sketch array<long>").dropDuplicates(["id"])
 
     def test(shared, a, b):
         return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
 
     links = linked(nodes, grams, test, sketcher.most_odd(percent / 100 - MARGIN))
-    root = components(links).withColumnRenamed("id", "node")
-    home = owner.join(root, "node", "left").select("set_hash", F.coalesce("root", "node").alias("root"))
-    out = member.join(home, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("id")).alias("root"))
-    name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(name("id").alias("doc_id"), "n_shingles", name("root").alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
+    root = written(components(links).withColumnRenamed("id", "node"), "roots")
+    best = owner.join(root, "node").groupBy("root").agg(F.min(F.struct("first.id", "first.digest", "node")).alias("best"))
+    home = owner.join(root.join(best, "root").select("node", "best"), "node", "left")
+    home = home.select("node", F.coalesce("best.id", "first.id").alias("root"), F.coalesce("best.node", "node").alias("kept_node"))
+    out = member.join(home, "node", "left")
+    full = F.col("n_shingles") > 0
+    kept = ~full | ((F.col("id") == F.col("root")) & (F.col("node") == F.col("kept_node")))
+    return out.select("id", "digest", "node", "n_shingles", F.when(full, F.col("root")).otherwise(F.col("id")).alias("root"), kept.alias("kept"))
+
+
+def _some(table: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """The rows of the table at the places where counts has 1, null elsewhere."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts) * table.shape[1]]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()), mask=pa.array(counts == 0))
 
 
 def _lists(table: np.ndarray) -> pa.ListArray:
@@ -96,15 +127,17 @@ def _lists(table: np.ndarray) -> pa.ListArray:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, one document of each group staying: the one with the smallest doc_id, and one row of it if repeated.
 
-    A document without text links with nothing and stays. Columns are those of docs.
+    A document without text links with nothing and stays. Only rows of one doc_id and equal sets count as repeated;
+    rows without a doc_id and without text never do. Columns are those of docs.
     """
-    found = written(near_duplicates(docs, width, percent).select("doc_id", "kept"), "found")
-    left = without(docs, found.where("not kept").select("doc_id"))
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = written(again, "again")
-    if again.isEmpty():
-        return left
-    id_, = fresh(docs, "_again")
-    again = again.withColumnRenamed("doc_id", id_)
-    same = docs["doc_id"].eqNullSafe(F.col(id_))
-    return left.join(again, left["doc_id"].eqNullSafe(F.col(id_)), "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    found = written(_judged(docs, width, percent).drop("root"), "found")
+    named = found.where(f"kept and (n_shingles > 0 or id <> {NO_ID})")
+    again = written(named.groupBy("id", "node").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    id_, digest = fresh(docs, "_id", "_digest")
+    keys = [id_, digest]
+    rows = docs.withColumns(dict(zip(keys, _row(docs), strict=True)))
+    left = rows.join(found.where("not kept").select("id", "digest").distinct().toDF(*keys), keys, "left_anti")
+    if not again.isEmpty():
+        left = left.join(named.join(again, ["id", "node"]).select("id", "digest").distinct().toDF(*keys), keys, "left_anti")
+        left = left.unionByName(rows.join(again.select("id", "least").toDF(*keys), keys, "left_semi").dropDuplicates(keys))
+    return left.select(*docs.columns)

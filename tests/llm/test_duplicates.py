@@ -50,6 +50,22 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == sorted((None if i == low else i for i, root in want.items() if i == root), key=str)
 
 
+def test_documents_that_share_an_id_or_have_none(spark):
+    rng = random.Random(31)
+    a, b, c, d, e, f = (prose(rng, 60, 10**6) for _ in range(6))
+    near = lambda t: " ".join(t.split()[:59])
+    rows = [(None, a), (None, b), (None, b), (None, near(b)), (None, None), (None, ""), (5, c), (5, d), (5, d.upper()), (6, near(c)), (7, near(d)), (8, near(a)), (9, e), (9, near(e)), (10, f)]
+    df = clashing(spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)).repartition(4)
+    groups = {t.split()[0]: t for t in (a, b, c, d, e, f)}
+    first = {a: None, b: None, c: 5, d: 5, e: 9, f: 10}
+    for r in near_dup.near_duplicates(df).where("n_shingles > 0 and doc_id >= 6").collect():
+        assert r["component_id"] == {6: 5, 7: 5, 8: None, 9: 9, 10: 10}[r["doc_id"]]
+    got = [(r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(df).collect()]
+    assert collections.Counter((i, t) for i, t in got if not t) == {(None, None): 1, (None, ""): 1}
+    texts = [(i, groups[t.lower().split()[0]]) for i, t in got if t]
+    assert collections.Counter(texts) == {(i, t): 1 for t, i in first.items()}
+
+
 def _line_groups(rows, percent=80, width=line_dedup.WIDTH):
     """{(doc, line): first (doc, line)} by comparing all pairs of lines."""
     low = -(10**30)
