@@ -22,13 +22,14 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_DOCS = 100
 #: Fences stand this many quartile ranges beyond the quartiles.
 REACH = 3
-#: For each measure: the least quartile range that counts, and whether low values are suspect too.
+#: For each measure: the least quartile range that counts, and whether low values are suspect too. REACH times the range
+#: must leave room beyond the fence: repeats end at 300 after the base rules, word_length begins at 100.
 MEASURES = {
     "symbols": (30, False),  # symbols for 1000 words
     "capitals": (60, False),  # A-Z for 1000 characters of words
-    "dup_lines": (200, False),  # of 1000 lines, those equal to an earlier one
-    "repeats": (100, False),  # of 1000 words, those in windows found twice
-    "word_length": (150, True),  # characters for 100 words
+    "dup_lines": (100, False),  # of 1000 lines, those equal to an earlier one
+    "repeats": (50, False),  # of 1000 words, those in windows found twice
+    "word_length": (60, True),  # characters for 100 words
 }
 
 

@@ -132,6 +132,23 @@ def test_quality_thresholds_adapt(spark):
     assert kept == {r[0] for r in rows} - {5000}
 
 
+def test_each_quality_measure_rejects_an_outlier(spark):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 80, 10**4), "en", "plain", 0) for i in range(150)]
+    passage = prose(rng, 10, 10**4)
+    odd = {
+        5001: " ".join(w + "$" for w in prose(rng, 80, 10**4).split()),
+        5002: prose(rng, 80, 10**4).upper(),
+        5003: "\n".join("one line of again\n" + prose(rng, 4, 10**4) for _ in range(10)),
+        5004: f"{passage} {prose(rng, 30, 10**4)} {passage} {prose(rng, 30, 10**4)}",
+        5005: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)),
+        5006: " ".join(w * 3 for w in prose(rng, 80, 10**4).split()),
+    }
+    got = quality_rules.judged(spark.createDataFrame(rows + [(i, t, "en", "plain", 0) for i, t in odd.items()], DOCS)).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(odd)
+
+
 def test_pages_give_their_articles(spark):
     ship(spark)
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Menu</a></li></ul></nav>
