@@ -23,8 +23,8 @@ from tessel.llm.links import components, linked
 from tessel.llm.near_dup import _lists
 from tessel.llm.shingles import MinHash, mix, powers, prefix_sums, spans_hashes
 
-#: Characters in a shingle; a shorter line is one shingle.
-WIDTH = 12
+#: Characters in a shingle; a shorter line is one shingle. One changed character changes so many shingles at most.
+WIDTH = 5
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 3) ** 12, 2 in 10,000; of 0.9, 1 in 10 million.
 BANDS, ROWS = 12, 3
 #: Samples and bits of the sketches of candidate lines, which turn away pairs well below the least similarity.

@@ -121,6 +121,20 @@ def test_fuzzy_lines_as_all_pairs(spark):
     assert found == want
 
 
+def test_lines_with_one_changed_character_link(spark):
+    """The width is a literal here, so that a wider shingle fails."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(30):
+        line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randint(25, 110))).strip()
+        at = rng.randrange(len(line))
+        rows += [(2 * i, line, "en", "s", 0), (2 * i + 1, line[:at] + "z" + line[at + 1 :], "en", "s", 0)]
+    want = {k: v for k, v in _line_groups(rows, width=5).items() if k != v}
+    assert len(want) >= 15
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r["doc_id"], r["line"]): (r["keep_doc"], r["keep_line"]) for r in got} == want
+
+
 def test_lines_leave_the_texts(spark):
     rows = line_rows(5)
     df = clashing(spark.createDataFrame(rows, DOCS))
