@@ -55,23 +55,30 @@ def thresholds(black: float, white: float, most: int) -> tuple[int, int]:
     return math.ceil(np.float32(black) * np.float32(most)), math.floor(np.float32(white) * np.float32(most))
 
 
-def shown(channel: Channel, v: Column, most: int = 255) -> dict[str, Column]:
-    """b, g, r as INT 0 to 255 of a grey sample (most: 255 or 65535)."""
+def shown(channel: Channel, v: Column | list[Column], most: int = 255) -> dict[str, Column]:
+    """b, g, r as INT 0 to 255 of a grey sample, or of the three samples of a colour (most: 255 or 65535).
+
+    Without a tint each sample of a colour is shown by itself; a tint takes the colour as one grey value.
+    """
     f32 = lambda x: F.lit(float(x)).cast("float")
+    samples = v if isinstance(v, list) else [v]
+    total = samples[0] if len(samples) == 1 else samples[0] + samples[1] + samples[2]
+    n = len(samples)
     if channel.lut:
         if len(channel.lut) != most + 1:
             raise ValueError(f"a look-up table has {most + 1} entries")
-        plain = F.element_at(F.lit(list(channel.lut)), v + 1).cast("int")
-        share = (plain.cast("float") / f32(255)).cast("float")
+        plain = [F.element_at(F.lit(list(channel.lut)), x + 1).cast("int") for x in samples]
+        share = ((plain[0] if n == 1 else plain[0] + plain[1] + plain[2]).cast("float") / f32(n * 255)).cast("float")
     elif channel.black > 0 or channel.white < 1:
         low, high = thresholds(channel.black, channel.white, most)
-        share = F.when(v <= low, f32(0)).when(v >= high, f32(1)).otherwise(((v - low).cast("float") / f32(high - low)).cast("float"))
-        plain = F.when(v <= low, 0).when(v >= high, 255).otherwise(F.floor((share * f32(255)).cast("double") + 0.5).cast("int"))
+        part = lambda x: F.when(x <= low, f32(0)).when(x >= high, f32(1)).otherwise(((x - low).cast("float") / f32(high - low)).cast("float"))
+        plain = [F.when(x <= low, 0).when(x >= high, 255).otherwise(F.floor((part(x) * f32(255)).cast("double") + 0.5).cast("int")) for x in samples]
+        share = part(total if n == 1 else F.floor((total + 1) / 3).cast("int"))
     else:
-        plain = v if most == 255 else F.shiftright(v, 8)
-        share = (v.cast("float") / f32(most)).cast("float")
+        plain = [x if most == 255 else F.shiftright(x, 8) for x in samples]
+        share = (total.cast("float") / f32(n * most)).cast("float")
     if channel.tint is None:
-        return {c: plain for c in "bgr"}
+        return {c: plain[k if n == 3 else 0] for k, c in enumerate("bgr")}
     return {c: _byte((share * f32(t)).cast("float")) for c, t in zip("rgb", channel.tint, strict=True)}
 
 
@@ -90,9 +97,12 @@ def effective_weights(channels: list[Channel]) -> dict[int, float] | None:
     return {c.index: float(np.float32(w / mean)) for c, w in zip(channels, weights, strict=True)}
 
 
-def composed(pixels: DataFrame, channels: list[Channel], most: int = 255, alpha: int | None = None) -> DataFrame:
+def composed(pixels: DataFrame, channels: list[Channel], most: int = 255, alpha: int | None = None, kinds: dict[int, str] | None = None) -> DataFrame:
     """(px, py, b, g, r[, a]) from the composites of channels (channel, px, py, v): each shown, weighted, rounded and added, up to 255.
 
+    v is a grey sample up to most; with kinds, which names each channel's pixel type, it is an array of one sample or
+    three.
+
     Channels are rows, not joined images: the sum combines on the map side, whatever their number.
     """
     active = [c for c in channels if c.enabled]
@@ -101,7 +111,9 @@ def composed(pixels: DataFrame, channels: list[Channel], most: int = 255, alpha:
     weights = effective_weights(active)
     chosen = {c: F.lit(None).cast("int") for c in "bgr"}
     for channel in active:
-        values = shown(channel, F.col("v"), most)
+        kind = kinds[channel.index] if kinds else None
+        v = F.col("v") if kind is None else [F.get("v", F.lit(k)) for k in range(3)] if kind.startswith("Bgr") else F.get("v", F.lit(0))
+        values = shown(channel, v, most if kind is None else 65535 if kind in ("Gray16", "Bgr48") else 255)
         for c in "bgr":
             x = values[c]
             if weights:

@@ -83,10 +83,12 @@ def add_tiles(held: DataFrame, new: DataFrame, bounds: dict[str, tuple[int, int]
 
 
 def replaced(held: DataFrame, new: DataFrame, key: str = "sb_index") -> DataFrame:
-    """held with the rows of the same key replaced; keys that nothing holds are not added."""
+    """held with the rows of the same key replaced; keys that nothing holds are not added. Of several new rows of a key one is taken, the least in all columns."""
     columns = held.columns
+    rest = [c for c in columns if c != key]
+    one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col("_row")[c].alias(c) for c in rest])
     kept = held.join(new.select(key), key, "left_anti").select(*columns)
-    return kept.unionByName(new.join(held.select(key), key, "left_semi").select(*columns))
+    return kept.unionByName(one.join(held.select(key), key, "left_semi").select(*columns))
 
 
 def removed(held: DataFrame, keys: DataFrame, key: str = "sb_index") -> DataFrame:

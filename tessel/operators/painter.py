@@ -1,62 +1,54 @@
-"""Composites of tiles: filter, spread over the pixels of the region, and let the topmost tile win each pixel.
+"""Composites of tiles: filter the directory, fetch each payload once, cut it to the windows that it touches, paint windows in order.
 
-Tiles are pruned by plane, region, layer and scene before any sample is made or read. Each sample is one row of the
-output's pixel grid; max_by over the paint order combines on the map side, so a pixel under any number of tiles
-costs one row for each task. Samples come from a function (rows with sb_index, sx, sy) -> (... v), so that they may be
-joined from a table, cut from packed payloads or computed.
+Tiles are pruned by plane, region, layer and scene before any payload is read. A payload row goes to a Python worker
+once; what leaves it are pieces, already resampled, converted and cut to a window of the output, so that no sample is a
+row and none moves that is not painted. Windows are painted by streaming their pieces in paint order: a worker holds one
+window and one piece, whatever the number of tiles on it. An output is a table of windows; pixels() makes rows of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions import geometry as g
+from tessel.functions.bitmaps import ARRAYS, bitmap, convert
 from tessel.functions.parsing import IndexSet
 from tessel.operators import directory
-from tessel.schema import INT_MIN, Rect
+from tessel.schema import INT_MIN, PIXEL_TYPES, Rect
+from tessel.session import ship
 
-Samples = Callable[[DataFrame], DataFrame]
-
-
-def stored_samples(pixels: DataFrame) -> Samples:
-    """Samples from a table (sb_index, sx, sy, v)."""
-    return lambda spread: spread.join(pixels, ["sb_index", "sx", "sy"])
-
-
-def packed_samples(payloads: DataFrame, stride: str = "stored_w") -> Samples:
-    """Samples from one-byte payloads (sb_index, data)."""
-    at = (F.col("sy") * F.col(stride) + F.col("sx") + 1).cast("int")
-    return lambda spread: spread.join(payloads, "sb_index").withColumn("v", F.conv(F.hex(F.substring("data", at, F.lit(1))), 16, 10).cast("int")).drop("data")
-
-
-def masked(samples: Samples, masks: DataFrame) -> Samples:
-    """Only samples whose mask bit is set: those outside a mask's extent are off, tiles without a mask are whole."""
-    byte = F.conv(F.hex(F.substring("bits", (F.col("sy") * F.col("stride") + F.floor(F.col("sx") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = F.get(F.array(*[F.shiftright(byte, 7 - k).bitwiseAND(1) for k in range(8)]), F.col("sx") % 8) == 1
-    inside = (F.col("sx") < F.col("mask_w")) & (F.col("sy") < F.col("mask_h"))
-    return lambda spread: samples(spread.join(masks, "sb_index", "left").where(F.col("bits").isNull() | (inside & bit)).drop("mask_w", "mask_h", "stride", "bits"))
+#: Sides of a window of the output.
+WINDOW = (256, 256)
+_NAMES = {v: k for k, v in PIXEL_TYPES.items()}
+_PIECE = "wx int, wy int, layer long, zoom double, m long, i long, px int, py int, pw int, ph int, data binary, bits binary"
+_IMAGE = "wx int, wy int, x int, y int, w int, h int, data binary, painted binary"
 
 
 def grid(spark: SparkSession, w: int, h: int) -> DataFrame:
     return spark.range(w * h).select((F.col("id") % w).cast("int").alias("px"), F.expr(f"cast(id div {w} as int)").alias("py"))
 
 
+def _shown(tiles: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """Cuts px0 to py1 to the output; tiles outside it go."""
+    cut = {f"p{a}{k}": F.greatest(F.col(f"p{a}0"), F.lit(0)) if k == "0" else F.least(F.col(f"p{a}1"), F.lit(n - 1)) for a, n in zip("xy", size, strict=True) for k in "01"}
+    return tiles.withColumns(cut).where("px0 <= px1 and py0 <= py1")
+
+
 def copied(tiles: DataFrame, origin: tuple[int, int], size: tuple[int, int], step: int = 1) -> DataFrame:
-    """Each tile's samples that fall on an output of that size, placed with its origin at (x - origin) / step, truncated."""
-    at = {"ox": F.expr(f"(x - {origin[0]}) div {step}").cast("int"), "oy": F.expr(f"(y - {origin[1]}) div {step}").cast("int")}
-    placed = tiles.withColumns(at)
-    lo, hi = (lambda o: F.greatest(F.col(o), F.lit(0))), (lambda o, s, n: F.least(F.col(o) + F.col(s), F.lit(n)) - 1)
-    placed = placed.withColumns({"px0": lo("ox"), "px1": hi("ox", "stored_w", size[0]), "py0": lo("oy"), "py1": hi("oy", "stored_h", size[1])}).where("px0 <= px1 and py0 <= py1")
-    spread = placed.withColumn("px", F.explode(F.sequence("px0", "px1"))).withColumn("py", F.explode(F.sequence("py0", "py1")))
-    return spread.withColumns({"sx": F.col("px") - F.col("ox"), "sy": F.col("py") - F.col("oy")}).drop("ox", "oy", "px0", "px1", "py0", "py1")
+    """Where each tile's samples fall on an output of that size, one to one, with the origin at (x - origin) / step, truncated."""
+    for a, o, n in (("x", origin[0], "stored_w"), ("y", origin[1], "stored_h")):
+        at = F.expr(f"({a} - {o}) div {step}").cast("int")
+        tiles = tiles.withColumns({f"p{a}0": at, f"d{a}": at.cast("double"), f"f{a}": F.lit(1.0), f"s{a}": F.lit(0.0)}).withColumn(f"p{a}1", F.col(f"p{a}0") + F.col(n) - 1)
+    return _shown(tiles, size)
 
 
 def resized(tiles: DataFrame, roi: Rect, size: tuple[int, int]) -> DataFrame:
-    """Each tile's nearest samples for the output pixels that it covers, the output showing the region."""
+    """Where each tile's nearest samples fall on an output that shows the region: output pixel p takes sample (p - d) * f + s, rounded."""
     d = tiles
     for a, (o, n, stored, dn) in {"x": (roi.x, roi.w, "stored_w", size[0]), "y": (roi.y, roi.h, "stored_h", size[1])}.items():
         ext = "w" if a == "x" else "h"
@@ -66,68 +58,199 @@ def resized(tiles: DataFrame, roi: Rect, size: tuple[int, int]) -> DataFrame:
         d = d.withColumns({"_l": lo, "_c": cut})
         d = d.withColumns(
             {
-                f"s{a}0": (F.col("_l") - F.col(a)) / F.col(ext) * F.col(stored),
-                f"s{a}n": ((F.col("_l") + F.col("_c") - F.col(a)) / F.col(ext) - (F.col("_l") - F.col(a)) / F.col(ext)) * F.col(stored),
-                f"d{a}0": (F.col("_l") - o) / F.lit(n) * dn,
-                f"d{a}n": ((F.col("_l") + F.col("_c") - o) / F.lit(n) - (F.col("_l") - o) / F.lit(n)) * dn,
+                f"s{a}": (F.col("_l") - F.col(a)) / F.col(ext) * F.col(stored),
+                f"n{a}": ((F.col("_l") + F.col("_c") - F.col(a)) / F.col(ext) - (F.col("_l") - F.col(a)) / F.col(ext)) * F.col(stored),
+                f"d{a}": (F.col("_l") - o) / F.lit(n) * dn,
+                f"e{a}": ((F.col("_l") + F.col("_c") - o) / F.lit(n) - (F.col("_l") - o) / F.lit(n)) * dn,
             }
-        ).drop("_l", "_c")
-        s0, sn, d0, dl = (F.col(f"{k}{a}{m}") for k, m in (("s", "0"), ("s", "n"), ("d", "0"), ("d", "n")))
+        )
+        s0, sn, d0, dl = (F.col(f"{k}{a}") for k in "snde")
         start, stop = F.greatest(F.floor(d0), F.lit(0)), F.least(F.floor(d0 + dl), F.lit(dn - 1))
         first, last = F.ceil((0 - s0) * dl / sn + d0), F.ceil((F.col(stored) - 1 - s0) * dl / sn + d0)
-        d = d.withColumns({f"p{a}0": F.greatest(first, start).cast("int"), f"p{a}1": F.least(last, stop).cast("int")}).where(f"p{a}0 <= p{a}1")
-    d = d.withColumn("px", F.explode(F.sequence("px0", "px1"))).withColumn("py", F.explode(F.sequence("py0", "py1")))
-    for a, stored in (("x", "stored_w"), ("y", "stored_h")):
-        near = F.round((F.col(f"p{a}") - F.col(f"d{a}0")) * (F.col(f"s{a}n") / F.col(f"d{a}n")) + F.col(f"s{a}0"))
-        d = d.withColumn(f"s{a}", F.least(F.greatest(near, F.lit(0)), F.col(stored) - 1).cast("int"))
-    return d.drop(*[f"{k}{a}{m}" for a in "xy" for k, m in (("s", "0"), ("s", "n"), ("d", "0"), ("d", "n"), ("p", "0"), ("p", "1"))])
+        d = d.withColumns({f"p{a}0": F.greatest(first, start).cast("int"), f"p{a}1": F.least(last, stop).cast("int"), f"f{a}": sn / dl}).drop("_l", "_c", f"n{a}", f"e{a}")
+    return _shown(d, size)
 
 
-def _rank(*more: Column) -> Column:
-    """The paint order as a struct: later is on top."""
-    return F.struct(*more, F.coalesce("m_index", F.lit(INT_MIN)).alias("m"), F.col("sb_index").alias("i"))
+def _nearest(p: np.ndarray, row: dict, a: str, n: int) -> np.ndarray:
+    at = (p - row[f"d{a}"]) * row[f"f{a}"] + row[f"s{a}"]
+    down = np.floor(np.maximum(at, 0))  # what is negative is cut to 0
+    return np.clip(down + (at - down >= 0.5), 0, n - 1).astype(np.int64)
 
 
-def topmost(pixels: DataFrame, rank: Column, *keys: str) -> DataFrame:
-    """The winning sample of each pixel: (keys, px, py, v, sb_index)."""
-    won = pixels.groupBy(*keys, "px", "py").agg(F.max_by(F.struct("v", "sb_index"), rank).alias("t"))
-    return won.select(*keys, "px", "py", "t.v", "t.sb_index")
+def _mask_bits(row: dict, sx: np.ndarray, sy: np.ndarray) -> np.ndarray | None:
+    """Which samples a tile's mask lets through: those outside its extent are off; a tile without a mask is whole."""
+    if row.get("mask_bits") is None:
+        return None
+    bits = np.frombuffer(row["mask_bits"], np.uint8, row["mask_h"] * row["mask_stride"]).reshape(-1, row["mask_stride"])
+    bits = np.unpackbits(bits, axis=1)[:, : row["mask_w"]]
+    on = np.zeros((row["stored_h"], row["stored_w"]), bool)
+    h, w = min(row["stored_h"], bits.shape[0]), min(row["stored_w"], bits.shape[1])
+    on[:h, :w] = bits[:h, :w]
+    return on[np.ix_(sy, sx)]
+
+
+def _cut(row: dict, target: str, window: tuple[int, int], border: bool) -> Iterator[dict]:
+    """A tile's pieces, one for each window."""
+    whole = None if target == "index" else bitmap(bytes(row["data"]), _NAMES[row["pixel_type"]], row["stored_w"], row["stored_h"])
+    x0, x1, y0, y1 = row["px0"], row["px1"], row["py0"], row["py1"]
+    for wy in range(y0 // window[1], y1 // window[1] + 1):
+        for wx in range(x0 // window[0], x1 // window[0] + 1):
+            xs = np.arange(max(x0, wx * window[0]), min(x1, (wx + 1) * window[0] - 1) + 1)
+            ys = np.arange(max(y0, wy * window[1]), min(y1, (wy + 1) * window[1] - 1) + 1)
+            sx, sy = _nearest(xs, row, "x", row["stored_w"]), _nearest(ys, row, "y", row["stored_h"])
+            if whole is None:
+                piece = np.full((len(ys), len(xs), 1), row["i"], np.int64)
+            else:
+                piece = convert(whole[np.ix_(sy, sx)], _NAMES[row["pixel_type"]], target)
+            if border:
+                edge = ((xs == x0) | (xs == x1))[None, :] | ((ys == y0) | (ys == y1))[:, None]
+                piece = np.where(edge[:, :, None], 0, piece).astype(piece.dtype)
+            on = _mask_bits(row, sx, sy)
+            if on is None or on.any():
+                yield {
+                    "wx": wx, "wy": wy, **{k: row[k] for k in ("layer", "zoom", "m", "i")}, "px": int(xs[0]) - wx * window[0], "py": int(ys[0]) - wy * window[1], "pw": len(xs), "ph": len(ys),
+                    "data": np.ascontiguousarray(piece).tobytes(), "bits": None if on is None else np.packbits(on).tobytes(),
+                }
+
+
+def painted(placed: DataFrame, payloads: DataFrame | None, size: tuple[int, int], target: str = "Gray8", ground=None, masks: DataFrame | None = None, border: bool = False, window: tuple[int, int] = WINDOW) -> DataFrame:
+    """The windows (wx, wy, x, y, w, h, data, painted) of an output of that size and pixel type.
+
+    placed: tiles as copied() or resized() gives them, with the paint order in layer, zoom, m and i (later is on top).
+    payloads: (sb_index, data) of plain samples in each tile's own pixel type, converted while they are painted; a tile
+    without a payload paints nothing. masks: (sb_index, mask_w, mask_h, stride, bits). ground: the value or the values
+    of unpainted pixels; None leaves windows without a tile out. painted has a bit for each pixel. With the target
+    "index" the samples are the sb_index of the tile on top, and no payload is read.
+    """
+    spark = ship(placed.sparkSession)
+    need = ["layer", "zoom", "m", "i", "stored_w", "stored_h", "pixel_type", *[f"p{a}{k}" for a in "xy" for k in "01"], *[f"{k}{a}" for a in "xy" for k in "dfs"]]
+    rows = placed.select("sb_index", *need)
+    if masks is not None:
+        rows = rows.join(masks.select("sb_index", "mask_w", "mask_h", F.col("stride").alias("mask_stride"), F.col("bits").alias("mask_bits")), "sb_index", "left")
+    if target != "index":
+        rows = rows.join(payloads.select("sb_index", "data"), "sb_index")
+    kinds = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in _PIECE.split(", "))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pieces = list(_cut(batch.slice(k, 1).to_pylist()[0], target, window, border))
+                for j in range(0, len(pieces), 64):
+                    yield pa.RecordBatch.from_pylist(pieces[j : j + 64], kinds)
+
+    pieces = rows.mapInArrow(cut, _PIECE)
+    if ground is not None:
+        every = grid(spark, -(-size[0] // window[0]), -(-size[1] // window[1]))
+        none = [F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in _PIECE.split(", ")[2:])]
+        pieces = pieces.unionByName(every.select(F.col("px").alias("wx"), F.col("py").alias("wy"), *none))
+    ordered = pieces.repartition("wx", "wy").sortWithinPartitions("wx", "wy", "layer", "zoom", "m", "i")
+    kind, samples = ARRAYS[target]
+    image = pa.schema([(n, {"int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in _IMAGE.split(", "))])
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, on = None, None, None
+
+        def done() -> pa.RecordBatch:
+            (wx, wy), (h, w) = at, on.shape
+            row = {"wx": wx, "wy": wy, "x": wx * window[0], "y": wy * window[1], "w": w, "h": h, "data": held.tobytes(), "painted": np.packbits(on).tobytes()}
+            return pa.RecordBatch.from_pylist([row], image)
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if (row["wx"], row["wy"]) != at:
+                    if at:
+                        yield done()
+                    at = row["wx"], row["wy"]
+                    w, h = (min(n, s - c * n) for n, s, c in zip(window, size, at, strict=True))
+                    held, on = np.zeros((h, w, samples), kind), np.zeros((h, w), bool)
+                    if ground is not None:
+                        held[:] = ground
+                if row["data"] is None:
+                    continue
+                x, y, w, h = row["px"], row["py"], row["pw"], row["ph"]
+                piece = np.frombuffer(row["data"], kind).reshape(h, w, samples)
+                if row["bits"] is None:
+                    held[y : y + h, x : x + w], on[y : y + h, x : x + w] = piece, True
+                else:
+                    through = np.unpackbits(np.frombuffer(row["bits"], np.uint8), count=w * h).reshape(h, w).astype(bool)
+                    held[y : y + h, x : x + w][through] = piece[through]
+                    on[y : y + h, x : x + w] |= through
+        if at:
+            yield done()
+
+    return ordered.mapInArrow(paint, _IMAGE)
+
+
+def pixels(image: DataFrame, target: str = "Gray8", bare: bool = False, inside: bool = False) -> DataFrame:
+    """(px, py, v), or (px, py, b, g, r[, a]) of a colour image. bare: only painted pixels. inside: (wx, wy) too, px and py counting inside the window."""
+    kind, samples = ARRAYS[target]
+    names = ["v"] if samples == 1 else ["b", "g", "r", "a"][:samples]
+    integral = np.issubdtype(kind, np.integer)
+    spark_kind, arrow_kind = ("long", pa.int64()) if target == "index" else ("int", pa.int32()) if integral else ("float", pa.float32())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                on = np.unpackbits(np.frombuffer(r["painted"], np.uint8), count=r["w"] * r["h"]).astype(bool)
+                at = np.flatnonzero(on) if bare else np.arange(len(on))
+                values = np.frombuffer(r["data"], kind).reshape(-1, samples)[at]
+                place = [at % r["w"] + (0 if inside else r["x"]), at // r["w"] + (0 if inside else r["y"])]
+                window = [np.full(len(at), r["wx"]), np.full(len(at), r["wy"])] if inside else []
+                columns = [pa.array(c.astype(np.int32)) for c in (*window, *place)] + [pa.array(values[:, j], arrow_kind) for j in range(samples)]
+                yield pa.RecordBatch.from_arrays(columns, [*(["wx", "wy"] if inside else []), "px", "py", *names])
+
+    where = "wx int, wy int, px int, py int" if inside else "px int, py int"
+    return image.mapInArrow(rows, f"{where}, " + ", ".join(f"{n} {spark_kind}" for n in names))
+
+
+def ranked(tiles: DataFrame, layer: Column | None = None, zoom: Column | None = None, m: Column | None = None) -> DataFrame:
+    """tiles with the paint order in layer, zoom, m and i: by M, tiles without one first, then by sb_index."""
+    least = F.coalesce("m_index", F.lit(INT_MIN)).cast("long")
+    order = {"layer": (F.lit(0) if layer is None else layer).cast("long"), "zoom": (F.lit(0) if zoom is None else zoom).cast("double"), "m": least if m is None else m.cast("long"), "i": F.col("sb_index").cast("long")}
+    return tiles.withColumns(order)
+
+
+def background(red: float, green: float, blue: float, target: str = "Gray8"):
+    """The samples of a background colour of fractions; NaN means none. An alpha is whole."""
+    if any(np.isnan(c) for c in (red, green, blue)):
+        return None
+    kind, samples = ARRAYS[target]
+    if samples == 1 and kind is np.float32:
+        return np.float32(np.float32(np.float32(red) + np.float32(green) + np.float32(blue)) / np.float32(3))
+    most = np.iinfo(kind).max
+    whole = lambda c: int(min(max(np.float32(c) + np.float32(0.5), 0), most))
+    if samples == 1:
+        return whole(np.float32(np.float32(most) * (np.float32(red) + np.float32(green) + np.float32(blue))) / np.float32(3))
+    return [whole(np.float32(most) * np.float32(c)) for c in (blue, green, red)] + [255] * (samples - 3)
 
 
-def on_background(won: DataFrame, size: tuple[int, int], background: int | None) -> DataFrame:
-    """(px, py, v) of the whole output; without a background only the painted pixels."""
-    if background is None:
-        return won.select("px", "py", "v")
-    ground = grid(won.sparkSession, *size).withColumns({"v": F.lit(background), "top": F.lit(False)})
-    both = won.select("px", "py", "v", F.lit(True).alias("top")).unionByName(ground)
-    return both.groupBy("px", "py").agg(F.max_by("v", "top").alias("v"))
+def tile_composite(tiles: DataFrame, payloads: DataFrame, plane: dict[str, int], roi: Rect, ground=0, border: bool = False, masks: DataFrame | None = None, target: str = "Gray8", window: tuple[int, int] = WINDOW) -> DataFrame:
+    """The windows of layer 0 of the plane inside the region. A scene filter does not apply here. border: the clipped tile's edge is drawn as 0."""
+    chosen = ranked(directory.enum_subset(tiles, plane, roi, layer0=True))
+    return painted(copied(chosen, (roi.x, roi.y), (roi.w, roi.h)), payloads, (roi.w, roi.h), target, ground, masks, border, window)
 
 
-def background(red: float, green: float, blue: float, most: int = 255) -> int | None:
-    """The grey value of a background colour of fractions; NaN means none."""
-    if any(np.isnan(c) for c in (red, green, blue)):
-        return None
-    return int(min(max((red + green + blue) / 3 * most + 0.5, 0), most))
+def ordered_composite(tiles: DataFrame, payloads: DataFrame, roi: Rect, order: str, ground=0, border: bool = False, masks: DataFrame | None = None, target: str = "Gray8") -> DataFrame:
+    """The windows of tiles that the caller chose, painted in the order of a column of numbers, at their places one to one."""
+    chosen = ranked(tiles.where(g.overlaps(roi)), layer=F.col(order), m=F.lit(0))
+    return painted(copied(chosen, (roi.x, roi.y), (roi.w, roi.h)), payloads, (roi.w, roi.h), target, ground, masks, border)
 
 
-def tile_composite(tiles: DataFrame, samples: Samples, plane: dict[str, int], roi: Rect, ground: int | None = 0, border: bool = False) -> DataFrame:
-    """(px, py, v): layer 0 of the plane inside the region. A scene filter does not apply here. border: the clipped tile's edge is drawn as 0."""
-    chosen = directory.enum_subset(tiles, plane, roi, layer0=True)
-    spread = samples(copied(chosen, (roi.x, roi.y), (roi.w, roi.h)))
-    if border:
-        left, top = F.greatest(F.col("x") - roi.x, F.lit(0)), F.greatest(F.col("y") - roi.y, F.lit(0))
-        right, low = F.least(F.col("x") - roi.x + F.col("stored_w"), F.lit(roi.w)) - 1, F.least(F.col("y") - roi.y + F.col("stored_h"), F.lit(roi.h)) - 1
-        edge = (F.col("px") == left) | (F.col("px") == right) | (F.col("py") == top) | (F.col("py") == low)
-        spread = spread.withColumn("v", F.when(edge, 0).otherwise(F.col("v")))
-    return on_background(topmost(spread, _rank()), (roi.w, roi.h), ground)
+def visible_tiles(tiles: DataFrame, plane: dict[str, int], roi: Rect, masks: DataFrame | None = None) -> DataFrame:
+    """(sb_index, pixels): the tiles that win some pixel of the region, by geometry alone, or after masking if masks are given. No payload is read."""
+    chosen = ranked(directory.enum_subset(tiles, plane, roi, layer0=True))
+    top = painted(copied(chosen, (roi.x, roi.y), (roi.w, roi.h)), None, (roi.w, roi.h), "index", masks=masks)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                on = np.unpackbits(np.frombuffer(r["painted"], np.uint8), count=r["w"] * r["h"]).astype(bool)
+                ids, n = np.unique(np.frombuffer(r["data"], np.int64)[on], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64())], ["sb_index", "n"])
 
-def visible_tiles(tiles: DataFrame, plane: dict[str, int], roi: Rect, samples: Samples | None = None) -> DataFrame:
-    """(sb_index, pixels): the tiles that win some pixel of the region, by geometry alone, or after masking if samples are given."""
-    chosen = directory.enum_subset(tiles, plane, roi, layer0=True)
-    spread = copied(chosen, (roi.x, roi.y), (roi.w, roi.h))
-    spread = samples(spread) if samples else spread.withColumn("v", F.lit(0))
-    return topmost(spread, _rank()).groupBy("sb_index").agg(F.count("*").alias("pixels"))
+    return top.mapInArrow(rows, "sb_index long, n long").groupBy("sb_index").agg(F.sum("n").alias("pixels"))
 
 
 def pyramid_layer_number(factor: int, layers: int = 31) -> Column:
@@ -142,15 +265,15 @@ def pyramid_layer_number(factor: int, layers: int = 31) -> Column:
     return out.otherwise(k)
 
 
-def pyramid_composite(tiles: DataFrame, samples: Samples, plane: dict[str, int], roi: Rect, factor: int, layer: int, ground: int | None = 0, scenes: IndexSet | None = None, strict: bool = False) -> DataFrame:
-    """(px, py, v): one pyramid layer of the plane, the region given in pixels of layer 0. strict: an error if the region has tiles but none on the layer."""
+def pyramid_composite(tiles: DataFrame, payloads: DataFrame, plane: dict[str, int], roi: Rect, factor: int, layer: int, ground=0, scenes: IndexSet | None = None, strict: bool = False, masks: DataFrame | None = None, target: str = "Gray8") -> DataFrame:
+    """The windows of one pyramid layer of the plane, the region given in pixels of layer 0. strict: an error if the region has tiles but none on the layer."""
     p = factor**layer
     size = (roi.w // p, roi.h // p)
     near = directory.of_scenes(directory.enum_subset(tiles, plane, Rect(roi.x, roi.y, size[0] * p, size[1] * p)), scenes)
     chosen = near.where(pyramid_layer_number(factor) == layer)
     if strict and chosen.isEmpty() and not near.isEmpty():
         raise LookupError(f"no tile of layer {layer} in the region")
-    return on_background(topmost(samples(copied(chosen, (roi.x, roi.y), size, p)), _rank()), size, ground)
+    return painted(copied(ranked(chosen), (roi.x, roi.y), size, p), payloads, size, target, ground, masks)
 
 
 def zoomed_size(roi: Rect, zoom: float) -> tuple[int, int]:
@@ -178,27 +301,19 @@ def scaling_candidates(tiles: DataFrame, plane: dict[str, int], roi: Rect, zoom:
     return directory.layer_candidates(near.where(F.col("dim_s").isin(found)), zoom, by_scene=True).withColumn("scene_rank", F.col("dim_s"))
 
 
-def scaling_composite(tiles: DataFrame, samples: Samples, plane: dict[str, int], roi: Rect, zoom: float, ground: int | None = 0, scenes: IndexSet | None = None) -> DataFrame:
-    """(px, py, v): the region at a zoom, from the pyramid layer that fits, scenes in ascending order over each other. Borders are never drawn."""
+def scaling_composite(tiles: DataFrame, payloads: DataFrame, plane: dict[str, int], roi: Rect, zoom: float, ground=0, scenes: IndexSet | None = None, masks: DataFrame | None = None, target: str = "Gray8") -> DataFrame:
+    """The windows of the region at a zoom, from the pyramid layer that fits, scenes in ascending order over each other. Borders are never drawn."""
     size = zoomed_size(roi, zoom)
     chosen = scaling_candidates(tiles, plane, roi, zoom, scenes)
-    spread = copied(chosen, (roi.x, roi.y), size) if zoom == 1 else resized(chosen, roi, size)
     m = F.when(g.is_layer0(), F.coalesce("m_index", F.lit(INT_MIN))).otherwise(INT_MIN)
-    rank = F.struct("scene_rank", "zoom", m.alias("m"), F.col("sb_index").alias("i"))
-    return on_background(topmost(samples(spread), rank), size, ground)
+    chosen = ranked(chosen, layer=F.col("scene_rank"), zoom=F.col("zoom"), m=m)
+    placed = copied(chosen, (roi.x, roi.y), size) if zoom == 1 else resized(chosen, roi, size)
+    return painted(placed, payloads, size, target, ground, masks)
 
 
-def plane_scan(tiles: DataFrame, samples: Samples, plane: dict[str, int], roi: Rect, window: tuple[int, int]) -> DataFrame:
-    """(tile_x, tile_y, px, py, v): the region in windows, those at the right and bottom clipped; px and py count inside the window.
-
-    All windows come from one job: a tile's pixels know their window by division, so neither a loop nor a range join is
-    needed, and the window is part of the shuffle key.
-    """
-    chosen = directory.enum_subset(tiles, plane, roi, layer0=True)
-    spread = copied(chosen, (roi.x, roi.y), (roi.w, roi.h))
-    w, h = window
-    spread = spread.withColumns({"tile_x": F.expr(f"cast(px div {w} as int)"), "tile_y": F.expr(f"cast(py div {h} as int)"), "px": F.col("px") % w, "py": F.col("py") % h})
-    return topmost(samples(spread), _rank(), "tile_x", "tile_y").drop("sb_index")
+def plane_scan(tiles: DataFrame, payloads: DataFrame, plane: dict[str, int], roi: Rect, window: tuple[int, int], target: str = "Gray8", ground=None) -> DataFrame:
+    """The region in windows of that size, those at the right and bottom clipped. All come from one job; a window is a key, so neither a loop nor a range join is needed."""
+    return tile_composite(tiles, payloads, plane, roi, ground, target=target, window=window)
 
 
 def windows(spark: SparkSession, roi: Rect, window: tuple[int, int]) -> DataFrame:
@@ -228,8 +343,18 @@ def bitmap_md5(payloads: DataFrame) -> DataFrame:
     return payloads.select("sb_index", F.md5("data").alias("md5"))
 
 
-def composite_md5(composite: DataFrame) -> DataFrame:
-    """One row: the MD5 of a one-byte composite, row by row. The output is one image, and so is its digest's input."""
-    ordered = F.sort_array(F.collect_list(F.struct("py", "px", "v")))
-    data = F.unhex(F.array_join(F.transform(ordered, lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""))
-    return composite.agg(F.md5(data).alias("md5"))
+def composite_md5(image: DataFrame, target: str = "Gray8") -> DataFrame:
+    """One row: the MD5 of the MD5s of the image's lines, in hexadecimal and one after the other. A task holds a line at most."""
+    kind, samples = ARRAYS[target]
+    size = np.dtype(kind).itemsize * samples
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                parts = [r["data"][y * r["w"] * size : (y + 1) * r["w"] * size] for y in range(r["h"])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(r["h"], dtype=np.int32) + np.int32(r["y"])), pa.array(np.full(r["h"], r["wx"], np.int32)), pa.array(parts, pa.binary())], ["py", "wx", "data"])
+
+    parts = image.mapInArrow(lines, "py int, wx int, data binary").groupBy("py").agg(F.sort_array(F.collect_list(F.struct("wx", F.hex("data").alias("data")))).alias("parts"))
+    line = parts.select("py", F.md5(F.unhex(F.array_join("parts.data", ""))).alias("line"))
+    return line.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("py", "line"))), lambda r: r["line"]), "")).alias("md5"))  # 36 bytes for each line

@@ -217,12 +217,6 @@ def _(spark, d):
     return directory.plane_errors(tables.subblocks(spark, d), planes)
 
 
-@query("read_subblock", f"select sb_index, x, y, compression_raw, md5(unhex(string_agg(printf('%02X', v), '' order by sy, sx))) as md5 from (select *, {tables.SAMPLE_SQL} as v from ({_T}) t, range(8) a(sx), range(6) b(sy) where sb_index in (7, 40, 41)) group by all")
-def _(spark, d):
-    t = tables.tiles(spark, d).where(F.col("sb_index").isin(7, 40, 41))
-    return t.join(tables.payloads(t), "sb_index").select("sb_index", "x", "y", "compression_raw", F.md5("data").alias("md5"))
-
-
 @query("header_reconciliation", f"select sb_index, case when sb_index % 10 = 0 then pixel_type + 1 else pixel_type end as pixel_type, m_index, x, sb_index % 10 = 0 as differs from ({_S})")
 def _(spark, d):
     s = tables.subblocks(spark, d).select("sb_index", "pixel_type", "m_index", "x")
@@ -318,10 +312,10 @@ def _(spark, d):
 _NULL_SAFE = " and ".join(f"n.{c} is not distinct from h.{c}" for c in ("dim_z", "dim_c", "dim_t", "dim_s"))
 
 
-@query("rw_duplicates", f"with s as ({_S}) select n.sb_index from s n where n.sb_index % 3 = 1 and n.w = n.stored_w and n.m_index is not null and exists (select 1 from s h where h.sb_index % 3 = 0 and h.w = h.stored_w and h.m_index = n.m_index and {_NULL_SAFE})")
+@query("rw_duplicates", f"with s as ({_S}) select n.sb_index from s n where n.sb_index % 3 <> 0 and n.w = n.stored_w and n.m_index is not null and exists (select 1 from s h where h.sb_index % 3 = 0 and h.w = h.stored_w and h.m_index = n.m_index and {_NULL_SAFE})")
 def _(spark, d):
     s = tables.subblocks(spark, d)
-    return mutations.updater_clashes(s.where("sb_index % 3 = 0"), s.where("sb_index % 3 = 1"))
+    return mutations.updater_clashes(s.where("sb_index % 3 = 0"), s.where("sb_index % 3 <> 0"))
 
 
 @query("bounds_violations", f"select sb_index, case when dim_z >= 4 then 'OutOfBounds' when dim_c < 1 then 'OutOfBounds' when dim_s is null then 'Insufficient' when m_index is null then 'Insufficient' when m_index > 80 then 'OutOfBounds' else 'Ok' end as result from ({_S})")
@@ -372,8 +366,14 @@ def _(spark, d):
     return directory.layer_candidates(s, 0.3, by_scene=True).select("sb_index", "dim_s", "zoom")
 
 
-def _paint_sql(r: Rect, where: str, extra: str = "true", pick: str = "arg_max(v, coalesce(m_index, -1) * 1000000000000 + sb_index)") -> str:
-    return f"""select px, py, {pick} as v from (select *, cast(x + sx - {r.x} as int) as px, cast(y + sy - {r.y} as int) as py, {tables.SAMPLE_SQL} as v from ({_T}) t, range(8) a(sx), range(6) b(sy)
+_K = [tables.COMPONENT_SQL.format(k=k) for k in range(3)]
+#: A sample as 8-bit grey, from any pixel type.
+_GREY8 = f"cast(case pixel_type when 0 then {_K[0]} when 1 then {_K[0]} >> 8 when 3 then ({_K[0]} + {_K[1]} + {_K[2]} + 1) // 3 else (({_K[0]} + {_K[1]} + {_K[2]}) // 3) >> 8 end as int)"
+_RANK = "coalesce(m_index, -1) * 1000000000000 + sb_index"
+
+
+def _paint_sql(r: Rect, where: str, extra: str = "true", pick: str = f"arg_max(v, {_RANK}) as v", v: str = _GREY8) -> str:
+    return f"""select px, py, {pick} from (select *, cast(x + sx - {r.x} as int) as px, cast(y + sy - {r.y} as int) as py, {v} as v from ({_T}) t, range(8) a(sx), range(6) b(sy)
      where {where} and {_overlap(r)}) where px between 0 and {r.w - 1} and py between 0 and {r.h - 1} and {extra} group by px, py"""
 
 
@@ -384,39 +384,90 @@ def _grounded(sql: str, w: int, h: int, ground: int = 0) -> str:
 _PAINT = f"{_ON_PLANE} and {_LAYER0}"
 
 
+def _near(spark, d, roi: Rect = SMALL, plane: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The tiles, and the payloads of those on the plane that overlap the region."""
+    t = tables.tiles(spark, d)
+    return t, tables.payloads(directory.enum_subset(t, plane or PLANE, roi))
+
+
 @query("tile_composite", _grounded(_paint_sql(SMALL, _PAINT), SMALL.w, SMALL.h, 17))
 def _(spark, d):
-    return painter.tile_composite(tables.tiles(spark, d), tables.with_samples, PLANE, SMALL, ground=17)
+    return painter.pixels(painter.tile_composite(*_near(spark, d), PLANE, SMALL, ground=17, window=(64, 64)))
 
 
 @query("tile_composite_bare", _paint_sql(SMALL, _PAINT))
 def _(spark, d):
-    t = tables.tiles(spark, d)
-    near = directory.enum_subset(t, PLANE, SMALL, layer0=True)
-    return painter.tile_composite(t, painter.packed_samples(tables.payloads(near)), PLANE, SMALL, ground=painter.background(float("nan"), 0, 0))
+    return painter.pixels(painter.tile_composite(*_near(spark, d), PLANE, SMALL, ground=painter.background(float("nan"), 0, 0)), bare=True)
+
+
+def _colour_sql(c: int, target: str, ground: list[int]) -> str:
+    """The composite of a channel in a colour type, on a background."""
+    take = {"Bgr24": "v{k}", "Bgr48": "v{k}"}[target]
+    parts = ", ".join(f"arg_max({_K[k]}, {_RANK}) as v{k}" for k in range(3))
+    won = _paint_sql(SMALL, f"dim_c = {c} and dim_t = 3 and {_LAYER0}", pick=parts)
+    out = ", ".join(f"coalesce({take.format(k=k)}, {ground[k]}) as {n}" for k, n in enumerate("bgr"))
+    return f"select cast(gx as int) as px, cast(gy as int) as py, {out} from range({SMALL.w}) a(gx) cross join range({SMALL.h}) b(gy) left join ({won}) p on p.px = gx and p.py = gy"
+
+
+@query("tile_composite_gray16", _grounded(_paint_sql(SMALL, f"dim_c = 1 and dim_t = 3 and {_LAYER0}", v=_K[0]), SMALL.w, SMALL.h, 32768))
+def _(spark, d):
+    plane = {"c": 1, "t": 3}
+    return painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, painter.background(0.5, 0.5, 0.5, "Gray16"), target="Gray16"), "Gray16")
+
+
+@query("tile_composite_bgr24", _colour_sql(2, "Bgr24", [64, 128, 255]))
+def _(spark, d):
+    plane = {"c": 2, "t": 3}
+    return painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, painter.background(1.0, 0.5, 0.25, "Bgr24"), target="Bgr24"), "Bgr24")
+
+
+@query("tile_composite_bgr48", _colour_sql(3, "Bgr48", [16384, 32768, 65535]))
+def _(spark, d):
+    plane = {"c": 3, "t": 3}
+    return painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, painter.background(1.0, 0.5, 0.25, "Bgr48"), target="Bgr48"), "Bgr48")
+
+
+@query("tile_composite_float", f"select px, py, cast(v as float) as v from ({_grounded(_paint_sql(SMALL, f'dim_c = 2 and dim_t = 3 and {_LAYER0}', v=f'({_K[0]} + {_K[1]} + {_K[2]}) / 3.0::double'), SMALL.w, SMALL.h)})")
+def _(spark, d):
+    plane = {"c": 2, "t": 3}
+    return painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, painter.background(0, 0, 0, "Gray32Float"), target="Gray32Float"), "Gray32Float")
+
+
+@query("ordered_composite", _grounded(_paint_sql(SMALL, "dim_c = 0", pick="arg_max(v, (sb_index * 7919) % 10007 * 1000000000 + sb_index) as v"), SMALL.w, SMALL.h))
+def _(spark, d):
+    t = tables.tiles(spark, d).where("dim_c = 0").withColumn("turn", F.expr("(sb_index * 7919) % 10007"))
+    return painter.pixels(painter.ordered_composite(t, tables.payloads(t), SMALL, "turn"))
 
 
-@query("visible_tiles", f"select cast(v as bigint) as sb_index, count(*) as pixels from ({_paint_sql(SMALL, _PAINT, pick='arg_max(sb_index, coalesce(m_index, -1) * 1000000000000 + sb_index)')}) group by v")
+@query("visible_tiles", f"select cast(v as bigint) as sb_index, count(*) as pixels from ({_paint_sql(SMALL, _PAINT, pick=f'arg_max(sb_index, {_RANK}) as v')}) group by v")
 def _(spark, d):
     return painter.visible_tiles(tables.tiles(spark, d), PLANE, SMALL)
 
 
-@query("mask_composite", _grounded(_paint_sql(SMALL, _PAINT, "(sb_index % 3 <> 0 or (sy < 5 and (sb_index + sy + sx) % 2 = 0))"), SMALL.w, SMALL.h))
+_THROUGH = "(sb_index % 3 <> 0 or (sy < 5 and (sb_index + sy + sx) % 2 = 0))"
+
+
+@query("mask_composite", _grounded(_paint_sql(SMALL, _PAINT, _THROUGH), SMALL.w, SMALL.h))
+def _(spark, d):
+    t, data = _near(spark, d)
+    return painter.pixels(painter.tile_composite(t, data, PLANE, SMALL, masks=tables.masks(t)))
+
+
+@query("mask_visible_tiles", f"select cast(v as bigint) as sb_index, count(*) as pixels from ({_paint_sql(SMALL, _PAINT, _THROUGH, pick=f'arg_max(sb_index, {_RANK}) as v')}) group by v")
 def _(spark, d):
     t = tables.tiles(spark, d)
-    near = directory.enum_subset(t, PLANE, SMALL, layer0=True)
-    return painter.tile_composite(t, painter.masked(tables.with_samples, tables.masks(near)), PLANE, SMALL)
+    return painter.visible_tiles(t, PLANE, SMALL, tables.masks(t))
 
 
 def _border_sql() -> str:
     r = SMALL
     edge = f"(px = greatest(x - {r.x}, 0) or px = least(x - {r.x} + 8, {r.w}) - 1 or py = greatest(y - {r.y}, 0) or py = least(y - {r.y} + 6, {r.h}) - 1)"
-    return _paint_sql(r, _PAINT, pick=f"arg_max(case when {edge} then 0 else v end, coalesce(m_index, -1) * 1000000000000 + sb_index)")
+    return _paint_sql(r, _PAINT, pick=f"arg_max(case when {edge} then 0 else v end, {_RANK}) as v")
 
 
 @query("tile_borders", _grounded(_border_sql(), SMALL.w, SMALL.h, 255))
 def _(spark, d):
-    return painter.tile_composite(tables.tiles(spark, d), tables.with_samples, PLANE, SMALL, ground=255, border=True)
+    return painter.pixels(painter.tile_composite(*_near(spark, d), PLANE, SMALL, ground=255, border=True))
 
 
 _PYR = Rect(-100, -80, 300, 200)
@@ -432,10 +483,10 @@ _PYR = Rect(-100, -80, 300, 200)
     ),
 )
 def _(spark, d):
-    return painter.pyramid_composite(tables.tiles(spark, d), tables.with_samples, PLANE, _PYR, 2, 1)
+    return painter.pixels(painter.pyramid_composite(*_near(spark, d, _PYR), PLANE, _PYR, 2, 1))
 
 
-def _scaling_sql(r: Rect, zoom: float, w: int, h: int, by_scene: bool) -> str:
+def _scaling_sql(r: Rect, zoom: float, w: int, h: int, by_scene: bool, through: str = "true") -> str:
     axis = lambda a, ext, st, o, n, dn: f"""(greatest({a}, {o}) - {a}) / cast({ext} as double) * {st} as s{a}0,
       ((least({a} + {ext}, {o + n}) - {a}) / cast({ext} as double) - (greatest({a}, {o}) - {a}) / cast({ext} as double)) * {st} as s{a}n,
       (greatest({a}, {o}) - {o}) / cast({n} as double) * {dn} as d{a}0, ((least({a} + {ext}, {o + n}) - {o}) / cast({n} as double) - (greatest({a}, {o}) - {o}) / cast({n} as double)) * {dn} as d{a}n"""
@@ -449,7 +500,7 @@ def _scaling_sql(r: Rect, zoom: float, w: int, h: int, by_scene: bool) -> str:
      e as (select *, unnest(generate_series(px0, px1)) as px from b where px0 <= px1 and py0 <= py1),
      g as (select *, unnest(generate_series(py0, py1)) as py from e),
      v as (select *, {src('x', 'stored_w')}, {src('y', 'stored_h')} from g)
-     select cast(px as int) as px, cast(py as int) as py, arg_max({tables.SAMPLE_SQL}, coalesce(dim_s, 0) * {1 if by_scene else 0} * 1e18 + round(zoom * 1000) * 1e14 + case when {_LAYER0} then coalesce(m_index, -1) else -1 end * 1e10 + sb_index) as v from v group by px, py"""
+     select cast(px as int) as px, cast(py as int) as py, arg_max({tables.SAMPLE_SQL}, coalesce(dim_s, 0) * {1 if by_scene else 0} * 1e18 + round(zoom * 1000) * 1e14 + case when {_LAYER0} then coalesce(m_index, -1) else -1 end * 1e10 + sb_index) as v from v where {through} group by px, py"""
 
 
 _ZOOMED = Rect(-120, -90, 360, 270)
@@ -457,17 +508,24 @@ _ZOOMED = Rect(-120, -90, 360, 270)
 
 @query("scaling_composite", _grounded(_scaling_sql(_ZOOMED, 0.5, 180, 135, True), 180, 135))
 def _(spark, d):
-    return painter.scaling_composite(tables.tiles(spark, d), tables.with_samples, PLANE, _ZOOMED, 0.5)
+    return painter.pixels(painter.scaling_composite(*_near(spark, d, _ZOOMED), PLANE, _ZOOMED, 0.5))
 
 
 @query("scaling_composite_overview", _grounded(_scaling_sql(_ZOOMED, 0.25, 90, 67, True), 90, 67))
 def _(spark, d):
-    return painter.scaling_composite(tables.tiles(spark, d), tables.with_samples, PLANE, _ZOOMED, 0.25)
+    return painter.pixels(painter.scaling_composite(*_near(spark, d, _ZOOMED), PLANE, _ZOOMED, 0.25))
+
+
+@query("mask_scaling_composite", _grounded(_scaling_sql(_ZOOMED, 0.5, 180, 135, True, _THROUGH), 180, 135))
+def _(spark, d):
+    t, data = _near(spark, d, _ZOOMED)
+    return painter.pixels(painter.scaling_composite(t, data, PLANE, _ZOOMED, 0.5, masks=tables.masks(t)))
 
 
 @query("plane_scan", f"select cast(px // 64 as int) as tile_x, cast(py // 48 as int) as tile_y, cast(px % 64 as int) as px, cast(py % 48 as int) as py, v from ({_paint_sql(SMALL, _PAINT)})")
 def _(spark, d):
-    return painter.plane_scan(tables.tiles(spark, d), tables.with_samples, PLANE, SMALL, (64, 48))
+    scan = painter.plane_scan(*_near(spark, d), PLANE, SMALL, (64, 48))
+    return painter.pixels(scan, bare=True, inside=True).withColumnsRenamed({"wx": "tile_x", "wy": "tile_y"})
 
 
 @query("scan_windows", "select cast(i as int) as tile_x, cast(j as int) as tile_y, cast(i * 64 - 60 as int) as x, cast(j * 48 - 50 as int) as y, cast(least(64, 200 - i * 64) as int) as w, cast(least(48, 150 - j * 48) as int) as h from range(4) a(i), range(4) b(j)")
@@ -475,23 +533,31 @@ def _(spark, d):
     return painter.windows(spark, SMALL, (64, 48))
 
 
-@query("tiles_of_regions", f"with r as (select o_orderkey as roi_id, cast(o_orderkey * 97 % 4000 - 2000 as int) as rx, cast(o_orderkey * 61 % 4000 - 2000 as int) as ry, 90 as rw, 70 as rh from orders where o_orderkey < 300) select roi_id, sb_index from ({_S}) s join r on least(x + w, rx + rw) > greatest(x, rx) and least(y + h, ry + rh) > greatest(y, ry)")
+@query("tiles_of_regions", f"with r as (select o_orderkey as roi_id, cast(o_orderkey * 97 % 4000 - 2000 as int) as rx, cast(o_orderkey * 61 % 4000 - 2000 as int) as ry, 90 as rw, 70 as rh from orders) select roi_id, sb_index from ({_S}) s join r on least(x + w, rx + rw) > greatest(x, rx) and least(y + h, ry + rh) > greatest(y, ry)")
 def _(spark, d):
-    rois = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 300").selectExpr("o_orderkey as roi_id", "cast(o_orderkey * 97 % 4000 - 2000 as int) as rx", "cast(o_orderkey * 61 % 4000 - 2000 as int) as ry", "90 as rw", "70 as rh")
+    rois = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey as roi_id", "cast(o_orderkey * 97 % 4000 - 2000 as int) as rx", "cast(o_orderkey * 61 % 4000 - 2000 as int) as ry", "90 as rw", "70 as rh")
     return painter.tiles_of_regions(tables.subblocks(spark, d), rois)
 
 
-_MD5 = f"md5(unhex(string_agg(printf('%02X', {tables.SAMPLE_SQL}), '' order by sy, sx)))"
+_WIDE_HEX = "substr(printf('%04X', v), 3, 2) || substr(printf('%04X', v), 1, 2)"
+_MD5_SQL = f"""select sb_index, md5(unhex(string_agg(case when pixel_type in (1, 4) then {_WIDE_HEX} else printf('%02X', v) end, '' order by sy, sx, k))) as md5
+    from (select sb_index, pixel_type, sx, sy, k, {tables.COMPONENT_SQL.format(k='k')} as v from ({_T}) t, range(8) a(sx), range(6) b(sy), range(3) c(k) where (k = 0 or pixel_type >= 3) and {{where}}) group by sb_index"""
 
 
-@query("bitmap_md5", f"select sb_index, {_MD5} as md5 from ({_T}) t, range(8) a(sx), range(6) b(sy) where dim_c = 0 group by sb_index")
+@query("bitmap_md5", _MD5_SQL.format(where="true"))
 def _(spark, d):
-    return painter.bitmap_md5(tables.payloads(tables.tiles(spark, d).where("dim_c = 0")))
+    return painter.bitmap_md5(tables.payloads(tables.tiles(spark, d)))
 
 
-@query("composite_md5", f"select md5(unhex(string_agg(printf('%02X', v), '' order by py, px))) as md5 from ({_grounded(_paint_sql(SMALL, _PAINT), SMALL.w, SMALL.h)})")
+@query("read_subblock", f"select t.sb_index, x, y, compression_raw, md5 from ({_T}) t join ({_MD5_SQL.format(where='true')}) p on p.sb_index = t.sb_index")
 def _(spark, d):
-    return painter.composite_md5(painter.tile_composite(tables.tiles(spark, d), tables.with_samples, PLANE, SMALL))
+    t = tables.tiles(spark, d)
+    return t.join(tables.payloads(t), "sb_index").select("sb_index", "x", "y", "compression_raw", F.md5("data").alias("md5"))
+
+
+@query("composite_md5", f"select md5(string_agg(line, '' order by py)) as md5 from (select py, md5(unhex(string_agg(printf('%02X', v), '' order by px))) as line from ({_grounded(_paint_sql(SMALL, _PAINT), SMALL.w, SMALL.h)}) group by py)")
+def _(spark, d):
+    return painter.composite_md5(painter.tile_composite(*_near(spark, d), PLANE, SMALL, window=(64, 64)))
 
 
 _V = "(l_orderkey * 7 + l_linenumber * 31 + l_partkey) % 65536"
@@ -558,8 +624,10 @@ _WEIGHTED = [channels.Channel(0, 0.5, tint=(255, 40, 0), black=0.1, white=0.9),
 
 
 def _images(spark, d) -> DataFrame:
-    t = tables.tiles(spark, d)
-    parts = [painter.tile_composite(t, tables.with_samples, {"c": c, "t": 3}, SMALL, ground=None).withColumn("channel", F.lit(c)) for c in range(3)]
+    parts = []
+    for c in range(3):
+        plane = {"c": c, "t": 3}
+        parts.append(painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, ground=None), bare=True).withColumn("channel", F.lit(c)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -585,6 +653,32 @@ def _(spark, d):
     return channels.composed(_images(spark, d), _WEIGHTED, alpha=200)
 
 
+_KINDS = {0: "Gray8", 1: "Gray16", 2: "Bgr24", 3: "Bgr48"}
+_COLOURED = [channels.Channel(0, tint=(255, 40, 0), black=0.1, white=0.9), channels.Channel(1), channels.Channel(2, black=0.1, white=0.8), channels.Channel(3, tint=(10, 200, 30))]
+
+
+def _coloured_sql() -> str:
+    won = ", ".join(f"arg_max({_K[k]}, {_RANK}) as v{k}" for k in range(3))
+    image = " union all ".join(f"select {c} as channel, * from ({_paint_sql(SMALL, f'dim_c = {c} and dim_t = 3 and {_LAYER0}', pick=won)})" for c in range(4))
+    out = []
+    for k, (n, t0, t3) in enumerate((("b", 0, 30), ("g", 40, 200), ("r", 255, 10))):
+        third = "cast(v0 + v1 + v2 as float) / cast(196605 as float)"
+        parts = f"case channel when 0 then {_tint_sql(_share_sql('v0', 26, 229), t0)} when 1 then v0 >> 8 when 2 then {_bw_sql(f'v{k}', 26, 204)} else {_tint_sql(third, t3)} end"
+        out.append(f"cast(least(sum({parts}), 255) as int) as {n}")
+    return f"select px, py, {', '.join(out)} from ({image}) group by px, py"
+
+
+@query("multichannel_colour", _coloured_sql())
+def _(spark, d):
+    out = None
+    for c, kind in _KINDS.items():
+        plane = {"c": c, "t": 3}
+        rows = painter.pixels(painter.tile_composite(*_near(spark, d, plane=plane), plane, SMALL, None, target=kind), kind, bare=True)
+        rows = rows.select(F.lit(c).alias("channel"), "px", "py", F.array("b", "g", "r").alias("v") if kind.startswith("Bgr") else F.array("v").alias("v"))
+        out = rows if out is None else out.unionByName(rows)
+    return channels.composed(out, _COLOURED, kinds=_KINDS)
+
+
 _BIT = "(p_partkey * 7 + x * 3 + y * 5 + x * y) % 9 <> 0"
 
 
@@ -671,12 +765,12 @@ def _(spark, d):
     return metadata.tile_tags(s.select("sb_index", xml.alias("sb_metadata"))).select("sb_index", F.col("StageXPosition").alias("sx"), F.col("StageYPosition").alias("sy"), F.col("stage").isNotNull().alias("has_stage"))
 
 
-@query("zstd_roundtrip", f"select sb_index, {_MD5} as md5 from ({_T}) t, range(8) a(sx), range(6) b(sy) where compression_raw <> 4 and dim_c = 0 group by sb_index")
+@query("zstd_roundtrip", _MD5_SQL.format(where="compression_raw <> 4"))
 def _(spark, d):
     from tessel.functions import codecs
     from tessel.session import ship
 
-    t = tables.tiles(ship(spark), d).where("compression_raw <> 4 and dim_c = 0")
+    t = tables.tiles(ship(spark), d).where("compression_raw <> 4")  # JPEG-XR has no codec here
     plain = t.join(tables.payloads(t), "sb_index")
     keys = ["sb_index", "compression_raw", "pixel_type", "stored_w", "stored_h"]
     packed = t.select(*keys).join(codecs.encoded(plain).withColumnRenamed("packed", "data"), "sb_index")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-#: Dimensions in their sort order.
+# Dimensions in their sort order.
 DIMS = ("z", "c", "t", "r", "s", "i", "h", "v", "b")
 DIM_COLUMNS = tuple(f"dim_{d}" for d in DIMS)
 
@@ -15,7 +15,7 @@ UNSUPPORTED = ("Bgra32", "Gray64ComplexFloat", "Bgr192ComplexFloat", "Gray32", "
 INVALID_PIXEL_TYPE = 255
 COMPRESSIONS = {"UnCompressed": 0, "Jpg": 1, "JpgXr": 4, "Zstd0": 5, "Zstd1": 6}
 PYRAMID_TYPES = {"None": 0, "SingleSubBlock": 1, "MultiSubBlock": 2}
-#: (factor of a layer, layer, minification, tolerance to both sides).
+# Fixed values: (factor of a layer, layer, minification, tolerance to both sides).
 PYRAMID_TOLERANCES = (
     (2, 1, 2.0, 0.1), (2, 2, 4.0, 0.2), (2, 3, 8.0, 0.4), (2, 4, 16.0, 0.8), (2, 5, 32.0, 1.0), (2, 6, 64.0, 1.0), (2, 7, 128.0, 1.0), (2, 8, 256.0, 2.0), (2, 9, 512.0, 4.0), (2, 10, 1024.0, 10.0),
     (3, 1, 3.0, 0.1), (3, 2, 9.0, 0.2), (3, 3, 27.0, 0.8), (3, 4, 81.0, 1.5), (3, 5, 243.0, 2.0), (3, 6, 729.0, 5.0), (3, 7, 2187.0, 15.0),

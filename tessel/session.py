@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of a batch that goes to a Python worker, unless the session says otherwise: rows are whole texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application; they may not have it installed."""
     context = spark.sparkContext
+    for name, (usual, ours) in BATCH.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, ours)
     if context.applicationId not in _shipped:
         home = Path(__file__).resolve().parent
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", home.parent, home.name)

@@ -37,8 +37,9 @@ select sb_index, dim_z, dim_c, dim_t, dim_r, dim_s, dim_i, dim_h, dim_v, dim_b,
 from ({SUBBLOCKS_SQL}) as s
 """
 
-#: Sample (sx, sy) of a tile.
+#: Sample (sx, sy) of a tile of 8 bits, and component k of a tile of any pixel type.
 SAMPLE_SQL = "cast((sb_index * 31 + sx * 7 + sy * 13) % 256 as int)"
+COMPONENT_SQL = "cast(case when pixel_type in (1, 4) then (sb_index * 131 + sx * 1009 + sy * 2003 + {k} * 4001) % 65536 else (sb_index * 31 + sx * 7 + sy * 13 + {k} * 17) % 256 end as int)"
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
@@ -56,14 +57,17 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, TILES_SQL, "events")
 
 
-def with_samples(spread: DataFrame) -> DataFrame:
-    """Rows of (sb_index, sx, sy) with the value v that the rule gives."""
-    return spread.withColumn("v", F.expr(SAMPLE_SQL))
+def payloads(tiles_: DataFrame) -> DataFrame:
+    """(sb_index, data): the samples of each tile in its pixel type, row by row, little-endian."""
+    wide, colour, i = F.col("pixel_type").isin(1, 4), F.col("pixel_type").isin(3, 4), F.col("sb_index")
 
+    def sample(sx, sy, k):
+        eight = F.lpad(F.hex((i * 31 + sx * 7 + sy * 13 + k * 17) % 256), 2, "0")
+        sixteen = F.lpad(F.hex((i * 131 + sx * 1009 + sy * 2003 + k * 4001) % 65536), 4, "0")
+        return F.when(wide, F.concat(F.substring(sixteen, 3, 2), F.substring(sixteen, 1, 2))).otherwise(eight)
 
-def payloads(tiles_: DataFrame) -> DataFrame:
-    """(sb_index, data): the samples of each tile, row by row, one byte each."""
-    row = lambda sy: F.array_join(F.transform(F.sequence(F.lit(0), F.col("stored_w") - 1), lambda sx: F.lpad(F.hex((F.col("sb_index") * 31 + sx * 7 + sy * 13) % 256), 2, "0")), "")
+    pixel = lambda sx, sy: F.when(colour, F.concat(*[sample(sx, sy, F.lit(k)) for k in range(3)])).otherwise(sample(sx, sy, F.lit(0)))
+    row = lambda sy: F.array_join(F.transform(F.sequence(F.lit(0), F.col("stored_w") - 1), lambda sx: pixel(sx, sy)), "")
     rows = F.transform(F.sequence(F.lit(0), F.col("stored_h") - 1), row)
     return tiles_.select("sb_index", F.unhex(F.array_join(rows, "")).alias("data"))
 

@@ -21,17 +21,20 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SUBBLOCKS)
 
 
-def constant(values):
-    """Samples that are one value for each tile."""
-    pairs = [x for k, v in values.items() for x in (F.lit(k).cast("long"), F.lit(v))]
-    return lambda spread: spread.withColumn("v", F.create_map(*pairs)[F.col("sb_index")])
+def flat(tiles, values):
+    """Payloads that are one value for each tile."""
+    rows = [(r["sb_index"], bytearray([values[r["sb_index"]]] * (r["stored_w"] * r["stored_h"]))) for r in tiles.collect()]
+    return tiles.sparkSession.createDataFrame(rows, "sb_index long, data binary")
+
+
+def line(image, y=0):
+    return [r["v"] for r in painter.pixels(image).where(F.col("py") == y).orderBy("px").collect()]
 
 
 @pytest.mark.parametrize(("m", "want"), [((0, 1, 2), [42, 45, 47, 47]), ((2, 1, 0), [42, 42, 45, 47]), ((0, 2, 1), [42, 45, 45, 47]), ((2, 0, 1), [42, 42, 47, 47]), ((1, 0, 2), [42, 42, 47, 47]), ((1, 2, 0), [42, 45, 45, 47])])
 def test_tiles_lie_in_the_order_of_m(spark, m, want):
     tiles = frame(spark, [tile(i, x=i, w=2, h=1, m=m[i], c=0) for i in range(3)])
-    got = painter.tile_composite(tiles, constant({0: 42, 1: 45, 2: 47}), {"c": 0}, Rect(0, 0, 4, 1))
-    assert [r["v"] for r in got.orderBy("px").collect()] == want
+    assert line(painter.tile_composite(tiles, flat(tiles, {0: 42, 1: 45, 2: 47}), {"c": 0}, Rect(0, 0, 4, 1))) == want
 
 
 @pytest.mark.parametrize(
@@ -62,31 +65,31 @@ def test_visible_tiles_give_the_same_picture(spark):
     for _ in range(3):
         rows = [tile(i, rng.randint(-20, 99), rng.randint(-20, 99), rng.randint(1, 60), rng.randint(1, 60), m=rng.choice([None, *range(5)]), c=0, t=0) for i in range(rng.randint(1, 60))]
         tiles, roi, plane = frame(spark, rows), Rect(0, 0, 80, 80), {"c": 0, "t": 0}
-        values = constant({r[0]: r[0] % 251 for r in rows})
+        values = flat(tiles, {r[0]: r[0] % 251 for r in rows})
         seen = painter.visible_tiles(tiles, plane, roi)
-        everything = painter.tile_composite(tiles, values, plane, roi)
-        pruned = painter.tile_composite(tiles.join(seen.select("sb_index"), "sb_index", "left_semi"), values, plane, roi)
+        everything = painter.pixels(painter.tile_composite(tiles, values, plane, roi))
+        pruned = painter.pixels(painter.tile_composite(tiles.join(seen.select("sb_index"), "sb_index", "left_semi"), values, plane, roi, window=(17, 23)))
         assert everything.exceptAll(pruned).isEmpty() and seen.count() <= len(rows)
 
 
 def test_masks_hide_tiles(spark):
     tiles = frame(spark, [tile(0, 0, 0, 4, 2, m=0, c=0), tile(1, 0, 0, 4, 2, m=1, c=0)])
     masks = spark.createDataFrame([(1, 3, 2, 1, bytearray([0b10100000, 0b01000000]))], "sb_index long, mask_w int, mask_h int, stride int, bits binary")
-    got = painter.tile_composite(tiles, painter.masked(constant({0: 5, 1: 9}), masks), {"c": 0}, Rect(0, 0, 4, 2))
-    assert [r["v"] for r in got.orderBy("py", "px").collect()] == [9, 5, 9, 5, 5, 9, 5, 5]
+    got = painter.tile_composite(tiles, flat(tiles, {0: 5, 1: 9}), {"c": 0}, Rect(0, 0, 4, 2), masks=masks)
+    assert line(got) + line(got, 1) == [9, 5, 9, 5, 5, 9, 5, 5]
     wholly = spark.createDataFrame([(1, 4, 2, 1, bytearray([0, 0]))], masks.schema)
-    assert [r[0] for r in painter.visible_tiles(tiles, {"c": 0}, Rect(0, 0, 4, 2), painter.masked(constant({0: 5, 1: 9}), wholly)).collect()] == [0]
+    assert [r[0] for r in painter.visible_tiles(tiles, {"c": 0}, Rect(0, 0, 4, 2), wholly).collect()] == [0]
 
 
 def test_pyramid_and_scaling(spark):
     rows = [tile(0, 0, 0, 8, 8, m=0, c=0), tile(1, 8, 0, 8, 8, m=1, c=0), tile(2, 0, 0, 16, 8, sw=8, sh=4, c=0)]
-    tiles, values = frame(spark, rows), constant({0: 10, 1: 20, 2: 30})
-    layer = painter.pyramid_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 2, 1)
+    tiles = frame(spark, rows)
+    values = flat(tiles, {0: 10, 1: 20, 2: 30})
+    layer = painter.pixels(painter.pyramid_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 2, 1))
     assert layer.count() == 32 and {r["v"] for r in layer.collect()} == {30}
-    half = painter.scaling_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 0.5)
+    half = painter.pixels(painter.scaling_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 0.5))
     assert half.count() == 32 and {r["v"] for r in half.collect()} == {30}
-    full = painter.scaling_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 1.0)
-    assert [r["v"] for r in full.where("py = 0").orderBy("px").collect()] == [10] * 8 + [20] * 8
+    assert line(painter.scaling_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 1.0)) == [10] * 8 + [20] * 8
     with pytest.raises(LookupError):
         painter.pyramid_composite(tiles, values, {"c": 0}, Rect(0, 0, 16, 8), 2, 2, strict=True)
     with pytest.raises(ValueError):
@@ -95,21 +98,71 @@ def test_pyramid_and_scaling(spark):
 
 def test_several_scenes_leave_out_tiles_without_one(spark):
     rows = [tile(0, 0, 0, 4, 4, s=0, c=0), tile(1, 2, 0, 4, 4, s=1, c=0), tile(2, 0, 0, 8, 4, c=0)]
-    tiles, values, roi = frame(spark, rows), constant({0: 1, 1: 2, 2: 3}), Rect(0, 0, 8, 4)
-    line = lambda **k: [r["v"] for r in painter.scaling_composite(tiles, values, {"c": 0}, roi, 1.0, **k).where("py = 0").orderBy("px").collect()]
-    assert line() == [1, 1, 2, 2, 2, 2, 0, 0]
-    assert line(scenes=IndexSet("1")) == [3] * 8  # one scene: the later tile, which has no scene, is on top
+    tiles, roi = frame(spark, rows), Rect(0, 0, 8, 4)
+    values = flat(tiles, {0: 1, 1: 2, 2: 3})
+    top = lambda **k: line(painter.scaling_composite(tiles, values, {"c": 0}, roi, 1.0, **k))
+    assert top() == [1, 1, 2, 2, 2, 2, 0, 0]
+    assert top(scenes=IndexSet("1")) == [3] * 8  # one scene: the later tile, which has no scene, is on top
 
 
 def test_scan_equals_whole(spark):
     rng = random.Random(6)
     rows = [tile(i, rng.randint(-10, 50), rng.randint(-10, 40), m=rng.randint(0, 3), c=0) for i in range(30)]
-    tiles, values, roi = frame(spark, rows), constant({i: i for i in range(30)}), Rect(-5, -5, 61, 43)
-    scan = painter.plane_scan(tiles, values, {"c": 0}, roi, (16, 10)).selectExpr("tile_x * 16 + px as px", "tile_y * 10 + py as py", "v")
-    whole = painter.tile_composite(tiles, values, {"c": 0}, roi, ground=None)
+    tiles, roi = frame(spark, rows), Rect(-5, -5, 61, 43)
+    values = flat(tiles, {i: i for i in range(30)})
+    scan = painter.pixels(painter.plane_scan(tiles, values, {"c": 0}, roi, (16, 10)), bare=True, inside=True).selectExpr("wx * 16 + px as px", "wy * 10 + py as py", "v")
+    whole = painter.pixels(painter.tile_composite(tiles, values, {"c": 0}, roi, ground=None), bare=True)
     assert scan.exceptAll(whole.selectExpr("px", "py", "v")).isEmpty() and scan.count() == whole.count()
 
 
+def test_painting_any_type_as_in_numpy(spark):
+    """Random tiles of four pixel types, painted one by one into an array of the target type."""
+    import numpy as np
+
+    from tessel.functions.bitmaps import ARRAYS, bitmap, convert
+    from tessel.schema import BYTES_PER_PIXEL, PIXEL_TYPES
+
+    rng = random.Random(11)
+    for target in ("Gray8", "Gray16", "Gray32Float", "Bgr24", "Bgr48"):
+        rows, data = [], {}
+        for i in range(25):
+            kind = rng.choice(["Gray8", "Gray16", "Bgr24", "Bgr48"])
+            t = tile(i, rng.randint(-20, 70), rng.randint(-20, 60), rng.randint(1, 30), rng.randint(1, 30), m=rng.choice([None, 0, 1, 2]), c=0)
+            rows.append((*t[:-4], PIXEL_TYPES[kind], *t[-3:]))
+            data[i] = (kind, bytes(rng.randrange(256) for _ in range(t[-6] * t[-5] * BYTES_PER_PIXEL[kind])))
+        tiles = frame(spark, rows)
+        values = spark.createDataFrame([(i, bytearray(b)) for i, (_, b) in data.items()], "sb_index long, data binary")
+        kind, samples = ARRAYS[target]
+        want = np.zeros((64, 90, samples), kind)
+        want[:] = painter.background(0.25, 0.5, 1, target)
+        for r in sorted(rows, key=lambda r: (-1 if r[10] is None else r[10], r[0])):
+            x, y, w, h = r[11:15]
+            piece = convert(bitmap(data[r[0]][1], data[r[0]][0], w, h), data[r[0]][0], target)
+            for py in range(max(0, y + 10), min(64, y + 10 + h)):
+                for px in range(max(0, x + 10), min(90, x + 10 + w)):
+                    want[py, px] = piece[py - y - 10, px - x - 10]
+        image = painter.tile_composite(tiles, values, {"c": 0}, Rect(-10, -10, 90, 64), painter.background(0.25, 0.5, 1, target), target=target, window=(40, 24))
+        got = np.zeros_like(want)
+        for r in image.collect():
+            got[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] = np.frombuffer(r["data"], kind).reshape(r["h"], r["w"], samples)
+        assert (got == want).all(), target
+
+
+def test_large_tiles_cost_what_their_pixels_cost(spark):
+    import time
+
+    tiles = frame(spark, [tile(i, 0, 0, n, n, m=i, c=0) for i, n in enumerate((512, 2048))])
+    values = flat(tiles, {0: 1, 1: 2})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = time.time()
+        image = painter.tile_composite(tiles, values, {"c": 0}, Rect(0, 0, 2048, 2048))
+        assert sum(set(bytes(r["data"])) == {2} for r in image.collect()) == 64
+        assert time.time() - began < 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_planes_are_checked(spark):
     tiles = frame(spark, [tile(i, c=i % 2, t=0, s=i % 3) for i in range(6)])
     directory.check_plane(tiles, {"C": 1})
