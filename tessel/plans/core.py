@@ -12,7 +12,8 @@ from tessel.functions import luts, metadata, metadata_build
 from tessel.functions.parsing import IndexSet, colour_columns, guid_column, typed_column, xml_time_column
 from tessel.operators import channels, directory, mutations, painter
 from tessel.schema import DIM_COLUMNS, DIMS, PYRAMID_TOLERANCES, Rect
-from tessel.sources import tables
+from tessel.session import scratch, ship
+from tessel.sources import container, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -768,7 +769,6 @@ def _(spark, d):
 @query("zstd_roundtrip", _MD5_SQL.format(where="compression_raw <> 4"))
 def _(spark, d):
     from tessel.functions import codecs
-    from tessel.session import ship
 
     t = tables.tiles(ship(spark), d).where("compression_raw <> 4")  # JPEG-XR has no codec here
     plain = t.join(tables.payloads(t), "sb_index")
@@ -780,7 +780,6 @@ def _(spark, d):
 @query("chunk_container_masks", f"select sb_index, 8 as mask_w, 5 as mask_h, md5(unhex(string_agg(case when (sb_index + sy) % 2 = 0 then 'AA' else '55' end, '' order by sy))) as md5 from ({_T}) t, range(5) b(sy) where sb_index % 3 = 0 group by sb_index")
 def _(spark, d):
     from tessel.functions import codecs
-    from tessel.session import ship
 
     m = tables.masks(tables.tiles(ship(spark), d))
     head = codecs.write_chunks([(codecs.VALID_PIXELS, codecs.mask_chunk(8, 5, 1, b"\0" * 5))])[:-5].hex()
@@ -826,3 +825,57 @@ def _(spark, d):
         typed_column((k * 0.5).cast("string"), "double").alias("f"),
         typed_column(F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "0").otherwise("maybe"), "bool").alias("b"),
     )
+
+
+def _containers(spark, d, table: str, **options) -> DataFrame:
+    """A table of container files that hold all tiles, a document for each time point."""
+    t = tables.tiles(container.registered(spark), d)
+    whole = t.join(tables.payloads(t), "sb_index").withColumns({"doc": F.concat(F.lit("t"), "dim_t"), "compression_raw": F.lit(0), "sb_metadata": metadata_build.tile_metadata({"Number": F.col("sb_index")}), "sb_attachment": F.encode(F.concat(F.lit("a"), "sb_index"), "utf-8"), "xml": F.concat(F.lit("<ImageDocument><T>"), "dim_t", F.lit("</T></ImageDocument>"))})
+    folder = scratch(spark, "containers")
+    whole.repartition("doc").sortWithinPartitions("doc", "sb_index").write.format("tile_container").mode("append").save(folder)
+    return container.opened(spark, f"{folder}/*.tiles", table, **options)
+
+
+_ROW = "dim_z, dim_c, dim_t, dim_s, m_index, x, y, w, h, stored_w, stored_h, pixel_type, pyramid_type"
+_COLUMNS = [c.strip() for c in _ROW.split(",")]
+def _number():
+    return F.regexp_extract("sb_metadata", "<Number>([0-9]+)<", 1).cast("long")
+
+
+@query("container_subblocks", f"select {_ROW} from ({_T})")
+def _(spark, d):
+    return _containers(spark, d, "subblocks", strict="true").select(*_COLUMNS)
+
+
+@query("container_headers", f"select {_ROW} from ({_T})")
+def _(spark, d):
+    return _containers(spark, d, "headers").select(*_COLUMNS)
+
+
+@query("container_tiles", f"select t.sb_index, {_ROW}, md5, 'a' || t.sb_index as attachment from ({_T}) t join ({_MD5_SQL.format(where='true')}) p on p.sb_index = t.sb_index")
+def _(spark, d):
+    return _containers(spark, d, "tiles", tiles_per_partition="400").select(_number().alias("sb_index"), *_COLUMNS, F.md5("data").alias("md5"), F.decode("sb_attachment", "utf-8").alias("attachment"))
+
+
+@query("container_metadata", f"select dim_t as t, count(*) as n from ({_T}) group by dim_t")
+def _(spark, d):
+    both = _containers(spark, d, "metadata").select(F.xpath_int("xml", F.lit("/ImageDocument/T")).alias("t"))
+    return both.join(tables.tiles(spark, d).groupBy("dim_t").agg(F.count("*").alias("n")), F.col("t") == F.col("dim_t")).select("t", "n")
+
+
+@query("container_files", f"select dim_t as t, 1 as major, 0 as minor, true as named from ({_T}) group by dim_t")
+def _(spark, d):
+    return _containers(spark, d, "files").select(F.regexp_extract("doc", "t([0-9]+)[.]tiles$", 1).cast("int").alias("t"), "major", "minor", (F.length("file_guid") == 36).alias("named"))
+
+
+@query("container_segments", f"select id, cast(n as bigint) as n from (select 'ZISRAWFILE' as id, count(distinct dim_t) as n from ({_T}) union all select 'ZISRAWMETADATA', count(distinct dim_t) from ({_T}) union all select 'ZISRAWDIRECTORY', count(distinct dim_t) from ({_T}) union all select 'ZISRAWSUBBLOCK', count(*) from ({_T}))")
+def _(spark, d):
+    return _containers(spark, d, "segments").groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("container_composite", _colour_sql(3, "Bgr48", [0, 0, 0]))
+def _(spark, d):
+    """From files to a picture: filters reach the directory, payloads of the plane are fetched and painted."""
+    t = _containers(spark, d, "tiles").where("dim_c = 3 and dim_t = 3")
+    t = t.withColumn("sb_index", _number())  # numbers inside a file start from 0
+    return painter.pixels(painter.tile_composite(t.drop("data"), t.select("sb_index", "data"), {"c": 3, "t": 3}, SMALL, [0, 0, 0], target="Bgr48"), "Bgr48")

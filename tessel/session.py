@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,18 @@ _shipped: set[str] = set()
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's URI in the folder that all executors see, spark.checkpoint.dir; a temporary one where all is one process and that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tessel-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    at = at if "://" in at else f"file://{at.removeprefix('file:')}"
+    return f"{at.rstrip('/')}/tessel-{uuid.uuid4().hex}/{tag}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once for each application; they may not have it installed."""
     context = spark.sparkContext

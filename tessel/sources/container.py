@@ -1,26 +1,36 @@
-"""The container format of tiled images: a Python data source that reads it, and a writer.
+"""The container format of tiled images: a Python data source that reads and writes it.
 
 A file is a chain of segments (id, allocated size, used size), which a header, a tile directory and an attachment
 directory point into. The reader plans one partition for each file or run of tiles, so that payloads are fetched by
-range and in parallel; the directory alone is read without touching a payload. Files are opened through pyarrow's
-filesystems, so any store that those know will do.
+range and in parallel; the directory alone is read without touching a payload, and planning reads no more of a file than
+how many entries it has. Filters on the directory's columns are looked at before a payload is fetched. Files are opened
+through pyarrow's filesystems, so any store that those know will do.
 
-    spark.dataSource.register(ContainerSource)
-    spark.read.format("tile_container").option("table", "subblocks").load("file:///data/one.file")
+    opened(spark, "file:///data/*.tiles", "tiles").where("dim_c = 0")
+    rows.repartition("doc").sortWithinPartitions("doc").write.format("tile_container").mode("append").save("file:///data")
+
+Rows to write have doc (the file's name), the columns of the directory and data; sb_metadata, sb_attachment and xml (the
+document's, from its first row) if there are any. A task writes a document tile by tile through a scratch file; what it
+has written counts only once the job commits.
 """
 
 from __future__ import annotations
 
 import glob
+import operator
+import shutil
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow.fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from tessel.schema import ATTACHMENTS, DIM_COLUMNS, DIMS, SUBBLOCKS
+from tessel.session import ship
 
 # Segment ids, sizes and layouts of the format.
 FILE, DIRECTORY, TILE, METADATA, ATTACHMENT_DIRECTORY, ATTACHMENT, DELETED = (s.encode().ljust(16, b"\0") for s in ("ZISRAWFILE", "ZISRAWDIRECTORY", "ZISRAWSUBBLOCK", "ZISRAWMETADATA", "ZISRAWATTDIR", "ZISRAWATTACH", "DELETED"))
@@ -81,42 +91,17 @@ def _entry(row: dict, position: int) -> bytes:
     return fixed + b"".join(DIMENSION.pack(n, start, size, float(start), stored) for n, start, size, stored in dims)
 
 
-def document_bytes(document: Document) -> bytes:
-    """A whole file: header, tiles, metadata, attachments, directories. The header is complete only once all else is in place."""
-    out = bytearray(_segment(FILE, bytes(HEADER_DATA)))
-    entries = []
-    for t in document.tiles:
-        at = len(out)
-        entry = _entry(t.row, at)
-        xml = t.metadata.encode()
-        head = (struct.pack("<iiq", len(xml), len(t.attachment), len(t.data)) + entry).ljust(TILE_DATA, b"\0")
-        out += _segment(TILE, head + xml + t.data + t.attachment)
-        entries.append(entry)
-    metadata = attachments = 0
-    if document.xml is not None:
-        metadata, xml = len(out), document.xml.encode()
-        out += _segment(METADATA, struct.pack("<ii", len(xml), 0).ljust(METADATA_DATA, b"\0") + xml)
-    rows = []
-    for guid, kind, name, data in document.attachments:
-        entry = ATTACHMENT_ENTRY.pack(b"A1", len(out), 0, uuid.UUID(guid).bytes_le, kind.encode()[:8], name.encode()[:79])
-        out += _segment(ATTACHMENT, (struct.pack("<q8x", len(data)) + entry).ljust(ATTACHMENT_DATA, b"\0") + data)
-        rows.append(entry)
-    directory = len(out)
-    out += _segment(DIRECTORY, struct.pack("<i", len(entries)).ljust(DIRECTORY_DATA, b"\0") + b"".join(entries))
-    if rows:
-        attachments = len(out)
-        out += _segment(ATTACHMENT_DIRECTORY, struct.pack("<i", len(rows)).ljust(ATTACHMENT_DIRECTORY_DATA, b"\0") + b"".join(rows))
-    guid = uuid.UUID(document.guid) if document.guid else uuid.uuid4()
-    head = HEADER.pack(1, 0, 0, 0, guid.bytes_le, guid.bytes_le, 0, directory, metadata, 0, attachments)
-    out[SEGMENT.size : SEGMENT.size + len(head)] = head
-    return bytes(out)
-
-
 def write_document(document: Document, uri: str) -> None:
+    """One document from the driver, with its attachments."""
+    new = Appender(document.xml, document.guid)
+    for t in document.tiles:
+        new.add(t)
+    new.finish(document.attachments)
     fs, path = pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri)
     fs.create_dir(path.rpartition("/")[0])
-    with fs.open_output_stream(path) as f:
-        f.write(document_bytes(document))
+    with new.f, fs.open_output_stream(path) as f:
+        new.f.seek(0)
+        shutil.copyfileobj(new.f, f, 8 << 20)
 
 
 class File:
@@ -153,6 +138,12 @@ class File:
         major, minor, _, _, primary, own, _, directory, metadata, _, attachments = HEADER.unpack(self.at(SEGMENT.size, HEADER.size))
         return Header(major, minor, str(uuid.UUID(bytes_le=primary)), str(uuid.UUID(bytes_le=own)), directory, metadata, attachments)
 
+    def entries(self) -> int:
+        """How many entries the directory has."""
+        at = self.header().directory
+        self.segment(at, DIRECTORY)
+        return struct.unpack("<i", self.at(at + SEGMENT.size, 4))[0]
+
     def directory(self, strict: bool = False) -> Iterator[dict]:
         """Directory rows in order. strict: sizes must be as the format wants them; else only starts count."""
         at = self.header().directory
@@ -235,6 +226,7 @@ def entry_of(data: bytes, at: int, strict: bool = False) -> tuple[dict, int]:
 
 _TABLES = {
     "subblocks": "doc string, " + SUBBLOCKS,
+    "tiles": "doc string, " + SUBBLOCKS + ", data binary, sb_metadata string, sb_attachment binary",
     "payloads": "doc string, sb_index long, data binary, sb_metadata string, sb_attachment binary",
     "headers": "doc string, " + SUBBLOCKS.replace(", file_position long", ""),
     "attachments": "doc string, " + ATTACHMENTS + ", data binary",
@@ -247,36 +239,82 @@ _TABLES = {
 @dataclass
 class _Part(InputPartition):
     uri: str
-    tiles: list[tuple[int, int]] | None = None
+    first: int = 0
+    last: int = -1
+
+
+# The filters that a directory row can be held against.
+_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
+def _passes(row: dict, filters: list[Filter]) -> bool:
+    """False if the row surely fails; filters on other columns say nothing."""
+    for f in filters:
+        if len(f.attribute) != 1 or f.attribute[0] not in row:
+            continue
+        v = row[f.attribute[0]]
+        if isinstance(f, IsNull):
+            good = v is None
+        elif isinstance(f, IsNotNull):
+            good = v is not None
+        elif isinstance(f, EqualNullSafe):
+            good = v == f.value
+        elif isinstance(f, In):
+            good = v is not None and v in f.value
+        elif type(f) in _TESTS:
+            good = v is not None and _TESTS[type(f)](v, f.value)
+        else:
+            continue
+        if not good:
+            return False
+    return True
+
+
+def _listed(path: str) -> list[str]:
+    """The files of a path; * may stand in its last part."""
+    if "://" not in path:
+        return sorted(glob.glob(path)) or [path]
+    head, _, name = path.rpartition("/")
+    if "*" not in name:
+        return [path]
+    fs, folder = pyarrow.fs.FileSystem.from_uri(head)
+    before, _, after = name.partition("*")
+    names = [x.base_name for x in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if x.is_file]
+    return [f"{head}/{n}" for n in sorted(names) if n.startswith(before) and n.endswith(after) and len(n) >= len(before) + len(after)]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.table, self.strict, self.run = options.get("table", "subblocks"), options.get("strict", "false") == "true", int(options.get("tiles_per_partition", "256"))
-        path = options["path"]
-        self.uris = [path] if "://" in path else sorted(glob.glob(path)) or [path]
+        self.uris = _listed(options["path"])
+        self.filters: list[Filter] = []
 
     def partitions(self) -> list[InputPartition]:
-        if self.table not in ("payloads", "headers"):
+        if self.table not in ("tiles", "payloads", "headers"):
             return [_Part(u) for u in self.uris]
         out: list[InputPartition] = []
         for u in self.uris:
-            found = [(r["sb_index"], r["file_position"]) for r in File(u).directory(self.strict)]
-            out += [_Part(u, found[i : i + self.run]) for i in range(0, len(found), self.run)]
-        return out or [_Part(self.uris[0], [])]
+            n = File(u).entries()
+            out += [_Part(u, i, min(i + self.run, n)) for i in range(0, n, self.run)]
+        return out or [_Part(self.uris[0])]
+
+    def _tiles(self, f: File, part: _Part) -> Iterator[dict]:
+        for row in f.directory(self.strict):
+            if part.first <= row["sb_index"] < part.last and _passes(row, self.filters):
+                yield row
 
     def read(self, part: _Part) -> Iterator[tuple]:
         f, u = File(part.uri), part.uri
         columns = [c.strip().split(" ")[0] for c in _TABLES[self.table].split(",")][1:]
         if self.table == "subblocks":
-            yield from ((u, *[r[c] for c in columns]) for r in f.directory(self.strict))
-        elif self.table == "payloads":
-            for i, position in part.tiles or ():
-                _, data, xml, attachment = f.payload(position)
-                yield u, i, data, xml, attachment
+            yield from ((u, *[r[c] for c in columns]) for r in f.directory(self.strict) if _passes(r, self.filters))
+        elif self.table in ("tiles", "payloads"):
+            for r in self._tiles(f, part):
+                _, data, xml, attachment = f.payload(r["file_position"])
+                yield (u, *[r[c] for c in columns[:-3]], data, xml, attachment)
         elif self.table == "headers":
-            for i, position in part.tiles or ():
-                row = {"sb_index": i, **f.payload(position)[0]}
+            for r in self._tiles(f, part):
+                row = {"sb_index": r["sb_index"], **f.payload(r["file_position"])[0]}
                 yield (u, *[row[c] for c in columns])
         elif self.table == "attachments":
             yield from ((u, *[r[c] for c in columns[:-1]], f.attachment(r["file_position"])) for r in f.attachments())
@@ -290,8 +328,106 @@ class _Reader(DataSourceReader):
             yield from ((u, *s) for s in f.walk())
 
 
+class _PruningReader(_Reader):
+    """Needs spark.sql.python.filterPushdown.enabled, which opened() sets."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """All are kept for pruning, and left to Spark too."""
+        self.filters = list(filters)
+        yield from filters
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class _Writer(DataSourceWriter):
+    """Documents of a task, each streamed into a scratch file and from there under a temporary name to the folder."""
+
+    def __init__(self, options: dict) -> None:
+        self.folder = options["path"].rstrip("/")
+
+    def _fs(self):
+        return pyarrow.fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (pyarrow.fs.LocalFileSystem(), self.folder)
+
+    def write(self, rows: Iterator) -> _Written:
+        fs, folder = self._fs()
+        fs.create_dir(folder)
+        out, name, new = [], None, None
+
+        def end() -> None:
+            new.finish()
+            temporary = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(temporary) as f:
+                new.f.seek(0)
+                shutil.copyfileobj(new.f, f, 8 << 20)
+            new.f.close()
+            out.append((temporary, f"{folder}/{name}.tiles"))
+
+        for row in rows:
+            row = row.asDict()
+            if name != row["doc"]:
+                if new:
+                    end()
+                name, new = row["doc"], Appender(row.get("xml"))
+            new.add(Tile(row, bytes(row["data"] or b""), row.get("sb_metadata") or "", bytes(row.get("sb_attachment") or b"")))
+        if new:
+            end()
+        return _Written(out)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        fs, _ = self._fs()
+        files = [x for m in messages if m for x in m.files]
+        if len({final for _, final in files}) < len(files):
+            self.abort(messages)
+            raise ValueError("a document came from several tasks, or in several runs; repartition and sort by doc")
+        for temporary, final in files:
+            fs.move(temporary, final)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        fs, _ = self._fs()
+        for m in messages:
+            for temporary, _ in m.files if m else ():
+                fs.delete_file(temporary)
+
+
+class Appender:
+    """A document under construction in a seekable scratch file; only its directory is held."""
+
+    def __init__(self, xml: str | None = None, guid: str | None = None) -> None:
+        self.f, self.xml, self.guid, self.entries = tempfile.TemporaryFile(), xml, guid, []
+        self.f.write(_segment(FILE, bytes(HEADER_DATA)))
+
+    def add(self, tile: Tile) -> None:
+        entry, xml = _entry(tile.row, self.f.tell()), tile.metadata.encode()
+        head = (struct.pack("<iiq", len(xml), len(tile.attachment), len(tile.data)) + entry).ljust(TILE_DATA, b"\0")
+        self.f.write(_segment(TILE, head + xml + tile.data + tile.attachment))
+        self.entries.append(entry)
+
+    def finish(self, attachments: list[tuple[str, str, str, bytes]] = ()) -> None:
+        """Metadata, attachments and directories; the header last."""
+        metadata = held = 0
+        if self.xml is not None:
+            metadata, xml = self.f.tell(), self.xml.encode()
+            self.f.write(_segment(METADATA, struct.pack("<ii", len(xml), 0).ljust(METADATA_DATA, b"\0") + xml))
+        rows = []
+        for guid, kind, name, data in attachments:
+            entry = ATTACHMENT_ENTRY.pack(b"A1", self.f.tell(), 0, uuid.UUID(guid).bytes_le, kind.encode()[:8], name.encode()[:79])
+            self.f.write(_segment(ATTACHMENT, (struct.pack("<q8x", len(data)) + entry).ljust(ATTACHMENT_DATA, b"\0") + data))
+            rows.append(entry)
+        directory = self.f.tell()
+        self.f.write(_segment(DIRECTORY, struct.pack("<i", len(self.entries)).ljust(DIRECTORY_DATA, b"\0") + b"".join(self.entries)))
+        if rows:
+            held = self.f.tell()
+            self.f.write(_segment(ATTACHMENT_DIRECTORY, struct.pack("<i", len(rows)).ljust(ATTACHMENT_DIRECTORY_DATA, b"\0") + b"".join(rows)))
+        guid = uuid.UUID(self.guid) if self.guid else uuid.uuid4()
+        self.f.seek(SEGMENT.size)
+        self.f.write(HEADER.pack(1, 0, 0, 0, guid.bytes_le, guid.bytes_le, 0, directory, metadata, 0, held))
+
+
 class ContainerSource(DataSource):
-    """Options: path (a URI or a local glob), table (subblocks, payloads, headers, attachments, metadata, files or segments), strict, tiles_per_partition."""
+    """Options: path (a URI or a local path, * in its last part), table (subblocks, tiles, payloads, headers, attachments, metadata, files or segments), strict, tiles_per_partition, prune."""
 
     @classmethod
     def name(cls) -> str:
@@ -304,4 +440,19 @@ class ContainerSource(DataSource):
         return _TABLES[table]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_PruningReader if self.options.get("prune") == "true" else _Reader)(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options)
+
+
+def registered(spark: SparkSession) -> SparkSession:
+    """The session with the format, and with what filters need to reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ContainerSource)
+    return ship(spark)
+
+
+def opened(spark: SparkSession, path: str, table: str = "subblocks", **options: str) -> DataFrame:
+    """A table of the files at a path."""
+    return registered(spark).read.format("tile_container").option("table", table).option("prune", "true").options(**options).load(path)
