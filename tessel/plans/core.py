@@ -586,7 +586,25 @@ _GAMMA = luts.from_gamma(256, 0.1, 0.9, 0.45)
 _POINTS = luts.from_spline(256, 0.0, 1.0, luts.spline([(0.3, 0.6), (0.7, 0.8)]))
 
 
-@query("lut_apply", f"select event_id, cast(({_GAMMA})[cast(event_id % 256 as int) + 1] as int) as gamma, cast(({_POINTS})[cast(event_id % 256 as int) + 1] as int) as spline from events")
+# The spline's inner slopes by Cramer's rule: pieces of 0.3, 0.4 and 0.3 that rise by 0.6, 0.2 and 0.2.
+_LUT_SQL = """
+    with solved as (
+        select (-4.5 * 1.4 - 0.5 * 0.4) / (1.4 * 1.4 - 0.4 * 0.4) as b1, (1.4 * 0.5 + 0.4 * 4.5) / (1.4 * 1.4 - 0.4 * 0.4) as b2
+    ), pieces as (
+        select * from (select 0 as k, 0.0::double as x0, 0.3::double as dx, 0.0::double as y0, 0.6::double as dy, 0.0::double as b, b1 as c from solved
+        union all select 1, 0.3, 0.4, 0.6, 0.2, b1, b2 from solved union all select 2, 0.7, 0.3, 0.8, 0.2, b2, 0.0 from solved)
+    ), entries as (
+        select cast(i as int) as i, i / 255.0::double as x, case when i / 255.0::double < 0.3 then 0 when i / 255.0::double < 0.7 then 1 else 2 end as k, (i - 25) / 204.0::double as u from range(256) t(i)
+    ), tables as (
+        select i, cast(floor(least(greatest(255 * (y0 + (x - x0) * (dy / dx - dx * (c + 2 * b) / 3) + b * (x - x0) * (x - x0) + (c - b) / (3 * dx) * (x - x0) * (x - x0) * (x - x0)), 0), 255)) as int) as spline,
+            case when i < 25 then 0 when i >= 230 then 255 else cast(floor(255 * (power(287.806332841221 * u + 1, 0.45) - 1) / (power(288.806332841221, 0.45) - 1)) as int) end as gamma
+        from entries join pieces on entries.k = pieces.k
+    )
+    select event_id, gamma, spline from events join tables on i = event_id % 256
+"""
+
+
+@query("lut_apply", _LUT_SQL)
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     v = (F.col("event_id") % 256).cast("int")
@@ -632,14 +650,14 @@ def _images(spark, d) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _composed_sql(weights: dict[int, float] | None = None) -> str:
+def _composed_sql(weights: list[str] | None = None) -> str:
     image = " union all ".join(f"select {c} as channel, * from ({_paint_sql(SMALL, f'dim_c = {c} and dim_t = 3 and {_LAYER0}')})" for c in range(3))
     first, second = _share_sql("v", 26, 229), "cast(v as float) / cast(255 as float)"
     out = []
     for name, (t0, t1) in {"b": (0, 90), "g": (40, 200), "r": (255, 0)}.items():
         parts = [_tint_sql(first, t0), _tint_sql(second, t1), "v"]
         if weights:
-            parts = [f"least(cast(floor(cast({p} as float) * cast({weights[k]!r} as float) + cast(0.5 as float)) as int), 255)" for k, p in enumerate(parts)]
+            parts = [f"least(cast(floor(cast({p} as float) * {weights[k]} + cast(0.5 as float)) as int), 255)" for k, p in enumerate(parts)]
         out.append(f"cast(least(sum(case channel when 0 then {parts[0]} when 1 then {parts[1]} else {parts[2]} end), 255) as int) as {name}")
     return f"select px, py, {', '.join(out)} from ({image}) group by px, py"
 
@@ -649,7 +667,7 @@ def _(spark, d):
     return channels.composed(_images(spark, d), _CHANNELS)
 
 
-@query("multichannel_weighted_bgra32", f"select *, 200 as a from ({_composed_sql(channels.effective_weights(_WEIGHTED))})")
+@query("multichannel_weighted_bgra32", f"select *, 200 as a from ({_composed_sql([f"cast(cast({w} as float) / cast(cast(2.25 as float) / cast(3 as float) as float) as float)" for w in (0.5, 1.0, 0.75)])})")
 def _(spark, d):
     return channels.composed(_images(spark, d), _WEIGHTED, alpha=200)
 
