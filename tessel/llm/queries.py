@@ -77,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.SQL,
+    "op7_sharding": sharding.SQL,
     "op2_chat": f"""
         with turns as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
