@@ -2,7 +2,9 @@
 
 A turn's content is a list of typed parts. A visitor over the parts writes text with its control strings escaped and
 a placeholder for each image, audio clip and document, and records the attachment's reference and the tokens that it
-expands to. Turns are joined under a template that marks who speaks; the assistant's text is under the loss mask.
+expands to. Text parts that meet are one text before it is escaped, so that no control string comes about where they
+join. Turns are joined under a template that marks who speaks; the assistant's text, and no placeholder, is under the
+loss mask.
 
 Escaping is reversible: "<" and "|" with k backslashes between them get k + 1, so that no text holds a control string.
 In roles "%" and line feeds are written as %25 and %0A too, since a line feed ends a role.
@@ -48,20 +50,41 @@ def _tokens(part) -> F.Column:
     return F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("long")
 
 
-def _visit(part) -> F.Column:
-    """A part's contribution to the content. An unknown kind counts as text."""
-    found = F.lit(None).cast("string")
-    for kind, mark in PLACEHOLDERS.items():
-        found = F.when(part["kind"] == kind, F.lit(mark)).otherwise(found)
-    return F.coalesce(found, escape(F.coalesce(part["text"], F.lit(""))))
+def _visited(parts) -> F.Column:
+    """The parts as array<struct<written, text>>: texts that meet as one, escaped, and placeholders. An unknown kind counts as text."""
+    run = lambda written, text: F.struct(written.alias("written"), F.lit(text).alias("text"))
+    none = F.expr("cast(array() as array<struct<written:string,text:boolean>>)")
+    closed = lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], run(escape(acc["open"]), True)))
+
+    def step(acc, part):
+        mark = F.lit(None).cast("string")
+        for kind, placeholder in PLACEHOLDERS.items():
+            mark = F.when(part["kind"] == kind, F.lit(placeholder)).otherwise(mark)
+        done = F.when(mark.isNull(), acc["done"]).otherwise(F.array_append(closed(acc), run(mark, False)))
+        open_ = F.when(mark.isNull(), F.concat(acc["open"], F.coalesce(part["text"], F.lit("")))).otherwise(F.lit(""))
+        return F.struct(done.alias("done"), open_.alias("open"))
+
+    return F.aggregate(parts, F.struct(none.alias("done"), F.lit("").alias("open")), step, closed)
+
+
+def _loss(runs, begin) -> F.Column:
+    """The spans of the texts among the runs of a content that begins at begin."""
+    none = F.expr("cast(array() as array<struct<start:long,end:long>>)")
+
+    def step(acc, run):
+        end = acc["at"] + F.char_length(run["written"])
+        span = F.struct(acc["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(run["text"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(runs, F.struct(begin.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
 
 
 def formatted(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, parts array<PART>) -> (conv_id, n_turns, formatted, loss_spans, attachments), a row for each conversation.
 
     Turns go by turn, then role, then content; a null turn comes first, null roles and parts are empty, null parts
-    of a list are left out. Repeated rows are repeated turns. loss_spans (start, end) count code points and hold the
-    text of one assistant turn each. attachments (turn_no, kind, ref, tokens) stand in the order of their
+    of a list are left out. Repeated rows are repeated turns. loss_spans (start, end) count code points; each holds a
+    stretch of text of an assistant turn between placeholders. attachments (turn_no, kind, ref, tokens) stand in the order of their
     placeholders. A null conv_id is a conversation like any other. An empty table gives an empty one; other columns
     are ignored. A conversation is one row of the result, and so is bounded by what a row can hold.
     """
@@ -73,9 +96,9 @@ def formatted(turns: DataFrame) -> DataFrame:
         "turn",
         role.alias("role"),
         F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"),
-        F.array_join(F.transform(parts, _visit), "").alias("content"),
+        _visited(parts).alias("runs"),
         attached.alias("attached"),
-    )
+    ).withColumn("content", F.array_join("runs.written", ""))
     tail = END + "\n"
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -87,12 +110,12 @@ def formatted(turns: DataFrame) -> DataFrame:
         F.struct(
             "no",
             F.concat("head", "content", F.lit(tail)).alias("segment"),
-            F.when(F.col("role") == "assistant", F.struct(begin.alias("start"), (begin + F.char_length("content")).alias("end"))).alias("loss"),
+            F.when(F.col("role") == "assistant", _loss(F.col("runs"), begin)).otherwise(F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("loss"),
             F.transform("attached", lambda a: F.struct((F.col("no") - 1).alias("turn_no"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens"))).alias("attached"),
         ).alias("t"),
     )
     out = each.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list("t")).alias("t"))
-    return out.select("conv_id", "n_turns", F.array_join("t.segment", "").alias("formatted"), F.filter("t.loss", lambda x: x.isNotNull()).alias("loss_spans"), F.flatten("t.attached").alias("attachments"))
+    return out.select("conv_id", "n_turns", F.array_join("t.segment", "").alias("formatted"), F.flatten("t.loss").alias("loss_spans"), F.flatten("t.attached").alias("attachments"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
