@@ -5,7 +5,8 @@ tags, the words of their class and id attributes and role, and its text. A two-l
 blocks and neighbouring labels; Viterbi gives the best labelling. Weights are trained here on labelled pages, either
 the caller's or a bounded set of generated ones (TRAINING_PAGES), by gradient ascent on the likelihood.
 
-A page is one row and is read in one pass, so pages of any length cost time in proportion to it.
+A page is one row and is read in one pass, so pages of any length and depth cost time in proportion to it: no tag is
+scanned twice, closing an element costs what opening it did, and an element's features come from its parent's.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,10 @@ from tessel.llm.common import chunks
 # Tag names as HTML defines them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their contents are not text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object head title textarea select option canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe object head title textarea select option canvas audio video".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math annotation menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
 #: A start tag of the first kind ends an open element of the second.
 ENDS_P = frozenset(
@@ -37,19 +40,23 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"
 #: An open element ends no further up than at one of these.
 SCOPES = frozenset("table ul ol dl article section aside nav main div body td th blockquote form header footer".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where the list above ends a search for an open element of SAME.
+ANCHORS = SCOPES.union(*SAME.values())
+
+#: A tag up to its end, which is not tried again another way.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)")
 _CLASS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-#: Of a text's characters, enough for the features of a block.
-_SAMPLE = 400
 
 
 class _Element:
-    __slots__ = ("tag", "marks", "up")
+    __slots__ = ("anchor", "marks", "tag", "up")
 
     def __init__(self, tag: str, marks: tuple[str, ...], up: _Element | None) -> None:
         self.tag, self.marks, self.up = tag, marks, up
+        #: The nearest of the element and those above it that is one of ANCHORS, or the top.
+        self.anchor: _Element = self if up is None or tag in ANCHORS else up.anchor
 
 
 def _marks(attributes: str) -> tuple[str, ...]:
@@ -74,12 +81,52 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text, closing, tag, attributes): each stretch of text with the tag that follows it; the last has none ("")."""
+    end, parts = 0, []
+    while (at := page.find("<", end)) >= 0:
+        parts.append(page[end:at])
+        m = _TAG.match(page, at)
+        if m:
+            close = m.end() if page[m.end() : m.end() + 1] == ">" else page.find(">", at)  # a quote that never ends is none
+        else:
+            sign = page[at + 1 : at + 2]
+            if page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                end = close + 3 if close >= 0 else len(page)
+                continue
+            if page.startswith("<![CDATA[", at):
+                close = page.find("]]>", at)
+                close = close if close >= 0 else len(page)
+                parts.append(html.escape(page[at + 9 : close]))
+                end = min(len(page), close + 3)
+                continue
+            if sign not in ("!", "?") or not sign:
+                parts.append("<")
+                end = at + 1
+                continue
+            close = page.find(">", at)
+        if close < 0:  # no tag ends any more
+            end = at
+            break
+        end = close + 1
+        if m:
+            tag = m[2].lower()
+            attributes = m[3] if m.end() == close else page[m.end(2) : close]
+            yield "".join(parts), bool(m[1]), tag, attributes
+            parts = []
+            if tag in SILENT and not m[1] and not attributes.rstrip().endswith("/"):
+                end = _skip(page, end, tag)
+    yield "".join([*parts, page[end:]]), False, "", ""
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks with text, in page order."""
     top = _Element("", (), None)
     at, links = top, 0
     out: list[Block] = []
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     linked = 0
 
     def flush() -> None:
@@ -91,114 +138,137 @@ def blocks_of(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    def close(element: _Element) -> _Element:
-        return element.up or top
-
-    end = 0
-    while m := _TOKEN.search(page, end):
-        if m.start() > end:
-            piece = page[end : m.start()]
-            parts.append(piece)
+    def leave(element: _Element) -> None:
+        """Closes the element and all that is open in it."""
+        nonlocal at
+        while at is not element:
+            opened[at.tag] -= 1
+            at = at.up
+        opened[at.tag] -= 1
+        at = at.up
+
+    for text, closing, tag, attributes in _tokens(page):
+        if text:
+            parts.append(text)
             if links:
-                linked += len(piece.strip())
-        end = m.end()
-        cdata, slash, name, attributes = m.groups()
-        if cdata is not None:
-            parts.append(html.escape(cdata))
-        if name is None:
-            continue
-        tag = name.lower()
+                linked += len(text.strip())
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links - 1) if slash else links + 1
+                links = max(0, links - 1) if closing else links + 1
             elif tag in ("br", "img"):
                 parts.append(" ")
             continue
         if tag in SILENT:
-            if not slash and not attributes.rstrip().endswith("/"):
-                end = _skip(page, end, tag)
             continue
         flush()
         links = 0
-        if tag in VOID:
+        if not tag or tag in VOID:
             continue
-        if slash:
-            open_ = at
-            while open_.up and open_.tag != tag:
-                open_ = open_.up
-            if open_.up:  # else nothing of that name is open
-                at = close(open_)
+        if closing:
+            if opened[tag]:  # else nothing of that name is open
+                e = at
+                while e.tag != tag:
+                    e = e.up
+                leave(e)
             continue
         if tag in ENDS_P and at.tag == "p":
-            at = close(at)
-        if tag in SAME:
-            e = at
-            while e.up and e.tag not in SCOPES - set(SAME[tag]) and e.tag not in SAME[tag]:
-                e = e.up
+            leave(at)
+        if tag in SAME and any(opened[t] for t in SAME[tag]):
+            e = at.anchor
+            while e.up and e.tag not in SAME[tag] and e.tag not in SCOPES:
+                e = e.up.anchor
             if e.tag in SAME[tag]:
-                at = close(e)
+                leave(e)
                 if tag == "tr" and at.tag == "tr":
-                    at = close(at)
+                    leave(at)
         at = _Element(tag, _marks(attributes) if attributes else (), at)
-    if end < len(page):
-        parts.append(page[end:])
-    flush()
+        opened[tag] += 1
     return out
 
 
-_ENDS: dict[str, re.Pattern] = {}
-
-
 def _skip(page: str, at: int, tag: str) -> int:
     """Where a silent element ends; an unclosed head ends where the body begins, another with the page."""
     if tag not in _ENDS:
-        _ENDS[tag] = re.compile(rf"</{tag}\b[^>]*>" + ("|(?=<body\\b)" if tag == "head" else ""), re.I)
+        _ENDS[tag] = re.compile(rf"</{tag}\b" + ("|<body\\b" if tag == "head" else ""), re.I)
     m = _ENDS[tag].search(page, at)
-    return m.end() if m else len(page)
+    if not m:
+        return len(page)
+    if m[0][1] != "/":
+        return m.start()
+    end = page.find(">", m.end())
+    return end + 1 if end >= 0 else len(page)
+
+
+_ENDS: dict[str, re.Pattern] = {}
 
 
 def _bucket(n: float, edges: tuple) -> int:
     return sum(n >= e for e in edges)
 
 
-def _path(element: _Element, known: dict[_Element, tuple[str, ...]]) -> tuple[str, ...]:
-    """Features of an element and all above it."""
-    if element not in known:
-        found, e, near = set(), element, None
-        while e.up:
-            if e.tag not in ("html", "body"):
-                found.add(f"in {e.tag}")
-            found.update(f"mark {w}" for w in e.marks)
-            if near is None and (e.marks or e.tag in ("nav", "aside", "footer", "header", "article", "main", "section", "form", "ul", "ol", "table")):
-                near = e
-                found.add(f"near {e.tag}")
-                found.update(f"near mark {w}" for w in e.marks)
-            e = e.up
-        found.add(f"own {element.tag}")
-        known[element] = tuple(sorted(found))
-    return known[element]
+class Paths:
+    """Features of elements and all above them; only those in wanted, if that is given, so that depth adds no more than wanted has."""
 
+    NEAR = frozenset("nav aside footer header article main section form ul ol table".split())
 
-def features_of(blocks: list[Block]) -> list[list[str]]:
-    """The features of each block."""
-    known: dict[_Element, tuple[str, ...]] = {}
-    out = []
+    def __init__(self, wanted: Container[str] | None = None) -> None:
+        self.wanted = wanted
+        #: By element: the features of ancestors, those of the nearest that says something, and all with the element's own.
+        self.known: dict[_Element, tuple[frozenset, tuple[str, ...]]] = {}
+        self.whole: dict[_Element, tuple[str, ...]] = {}
+
+    def _keep(self, features: Iterable[str]) -> Iterator[str]:
+        return (f for f in features if self.wanted is None or f in self.wanted)
+
+    def of(self, element: _Element) -> tuple[str, ...]:
+        if element not in self.whole:
+            above, near = self._above(element)
+            self.whole[element] = tuple(sorted({*above, *near, *self._keep([f"own {element.tag}"])}))
+        return self.whole[element]
+
+    def _above(self, element: _Element) -> tuple[frozenset, tuple[str, ...]]:
+        chain, e = [], element
+        while e.up and e not in self.known:
+            chain.append(e)
+            e = e.up
+        above, near = self.known.get(e, (frozenset(), ()))
+        for e in reversed(chain):
+            marks = [f"mark {w}" for w in e.marks]
+            own = set(self._keep(marks if e.tag in ("html", "body") else [f"in {e.tag}", *marks]))
+            if not own <= above:
+                above = above | own
+            if e.marks or e.tag in self.NEAR:
+                near = tuple(self._keep([f"near {e.tag}", *(f"near {m}" for m in marks)]))
+            self.known[e] = above, near
+        return above, near
+
+
+def _own(block: Block, titled: bool) -> list[str]:
+    """The features of a block's text, all of it."""
+    text = block.text
+    f = [
+        f"words {_bucket(text.count(' ') + 1, (2, 4, 8, 16, 40))}",
+        f"links {_bucket(block.linked / max(1, len(text)), (0.01, 0.3, 0.7))}",
+        f"stop {text[-1] in '.!?:;'}",
+        f"titled {titled}",
+    ]
+    if "©" in text:
+        f.append("copyright")
+    if "|" in text or "»" in text or "·" in text:
+        f.append("bars")
+    return f
+
+
+def _described(blocks: list[Block], paths: Paths) -> Iterator[tuple[tuple[str, ...], list[str]]]:
     titled = False
     for b in blocks:
-        sample = b.text[:_SAMPLE]
-        words = sample.count(" ") + 1
         titled = titled or b.element.tag == "h1"
-        f = [*_path(b.element, known)]
-        f.append(f"words {_bucket(words, (2, 4, 8, 16, 40))}")
-        f.append(f"links {_bucket(b.linked / max(1, len(b.text)), (0.01, 0.3, 0.7))}")
-        f.append(f"stop {sample[-1] in '.!?:;' if len(sample) == len(b.text) else True}")
-        f.append(f"titled {titled}")
-        if "©" in sample:
-            f.append("copyright")
-        if "|" in sample or "»" in sample or "·" in sample:
-            f.append("bars")
-        out.append(f)
-    return out
+        yield paths.of(b.element), _own(b, titled)
+
+
+def features_of(blocks: list[Block]) -> list[list[str]]:
+    """The features of each block."""
+    return [[*path, *own] for path, own in _described(blocks, Paths())]
 
 
 class ChainCrf:
@@ -258,13 +328,26 @@ class ChainCrf:
 
     def decode(self, features: list[list[str]]) -> list[int]:
         """The likeliest labels, by Viterbi; of two equal ways the one through label 1."""
-        if not features:
+        return self.viterbi([sum(self.weights.get(f, 0.0) for f in row) for row in features])
+
+    def label(self, blocks: list[Block]) -> list[int]:
+        """decode() of features_of(), each element's features being weighed once."""
+        get, path_of = self.weights.get, {}
+        scores = []
+        for path, own in _described(blocks, Paths(self.weights)):
+            if path not in path_of:
+                path_of[path] = sum(get(f, 0.0) for f in path)
+            scores.append(path_of[path] + sum(get(f, 0.0) for f in own))
+        return self.viterbi(scores)
+
+    def viterbi(self, scores: list[float]) -> list[int]:
+        """The likeliest labels for scores of label 1."""
+        if not scores:
             return []
-        get, ((s00, s01), (s10, s11)) = self.weights.get, self.steps.tolist()
+        (s00, s01), (s10, s11) = self.steps.tolist()
         p, q = self.first.tolist()
         back = []
-        for t, row in enumerate(features):
-            e = sum(get(f, 0.0) for f in row)
+        for t, e in enumerate(scores):
             if t:
                 from0, from1 = p + s00 > q + s10, p + s01 > q + s11
                 back.append((from0, from1))
@@ -402,7 +485,7 @@ def fit(pages: list[tuple[str, list[str]]]) -> ChainCrf:
 
 def main_blocks(page: str, model: ChainCrf) -> list[str]:
     found = blocks_of(page)
-    return [b.text for b, y in zip(found, model.decode(features_of(found)), strict=True) if y]
+    return [b.text for b, y in zip(found, model.label(found), strict=True) if y]
 
 
 _model: list[ChainCrf] = []
