@@ -1 +1,3 @@
 """Tile analytics and corpus preparation on PySpark."""
+
+__version__ = "0.2.0"

@@ -893,7 +893,7 @@ def _(spark, d):
 
 @query("container_composite", _colour_sql(3, "Bgr48", [0, 0, 0]))
 def _(spark, d):
-    """From files to a picture: filters reach the directory, payloads of the plane are fetched and painted."""
-    t = _containers(spark, d, "tiles").where("dim_c = 3 and dim_t = 3")
+    """From files to a picture: of the plane and region only payloads are fetched and painted."""
+    t = _containers(spark, d, "tiles", plane={"c": 3, "t": 3}, roi=SMALL)
     t = t.withColumn("sb_index", _number())  # numbers inside a file start from 0
     return painter.pixels(painter.tile_composite(t.drop("data"), t.select("sb_index", "data"), {"c": 3, "t": 3}, SMALL, [0, 0, 0], target="Bgr48"), "Bgr48")

@@ -3,10 +3,10 @@
 A file is a chain of segments (id, allocated size, used size), which a header, a tile directory and an attachment
 directory point into. The reader plans one partition for each file or run of tiles, so that payloads are fetched by
 range and in parallel; the directory alone is read without touching a payload, and planning reads no more of a file than
-how many entries it has. Filters on the directory's columns are looked at before a payload is fetched. Files are opened
+how many entries it has. A plane and a region may be given, so that no payload outside them is fetched. Files are opened
 through pyarrow's filesystems, so any store that those know will do.
 
-    opened(spark, "file:///data/*.tiles", "tiles").where("dim_c = 0")
+    opened(spark, "file:///data/*.tiles", "tiles", {"c": 0}, Rect(0, 0, 512, 512))
     rows.repartition("doc").sortWithinPartitions("doc").write.format("tile_container").mode("append").save("file:///data")
 
 Rows to write have doc (the file's name), the columns of the directory and data; sb_metadata, sb_attachment and xml (the
@@ -17,7 +17,6 @@ has written counts only once the job commits.
 from __future__ import annotations
 
 import glob
-import operator
 import shutil
 import struct
 import tempfile
@@ -27,9 +26,10 @@ from dataclasses import dataclass, field
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tessel.schema import ATTACHMENTS, DIM_COLUMNS, DIMS, SUBBLOCKS
+from tessel.functions.parsing import coordinate
+from tessel.schema import ATTACHMENTS, DIM_COLUMNS, DIMS, SUBBLOCKS, Rect
 from tessel.session import ship
 
 # Segment ids, sizes and layouts of the format.
@@ -243,33 +243,6 @@ class _Part(InputPartition):
     last: int = -1
 
 
-# The filters that a directory row can be held against.
-_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
-
-
-def _passes(row: dict, filters: list[Filter]) -> bool:
-    """False if the row surely fails; filters on other columns say nothing."""
-    for f in filters:
-        if len(f.attribute) != 1 or f.attribute[0] not in row:
-            continue
-        v = row[f.attribute[0]]
-        if isinstance(f, IsNull):
-            good = v is None
-        elif isinstance(f, IsNotNull):
-            good = v is not None
-        elif isinstance(f, EqualNullSafe):
-            good = v == f.value
-        elif isinstance(f, In):
-            good = v is not None and v in f.value
-        elif type(f) in _TESTS:
-            good = v is not None and _TESTS[type(f)](v, f.value)
-        else:
-            continue
-        if not good:
-            return False
-    return True
-
-
 def _listed(path: str) -> list[str]:
     """The files of a path; * may stand in its last part."""
     if "://" not in path:
@@ -287,7 +260,17 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.table, self.strict, self.run = options.get("table", "subblocks"), options.get("strict", "false") == "true", int(options.get("tiles_per_partition", "256"))
         self.uris = _listed(options["path"])
-        self.filters: list[Filter] = []
+        # A plane and a region, which directory rows are held against before a payload is fetched.
+        self.plane = {f"dim_{d}": v for d, v in coordinate(options.get("plane", "")).items()}
+        self.roi = [int(v) for v in options["roi"].split(",")] if "roi" in options else None
+
+    def _wanted(self, row: dict) -> bool:
+        if any(row[c] != v for c, v in self.plane.items()):
+            return False
+        if self.roi is None:
+            return True
+        x, y, w, h = self.roi
+        return min(row["x"] + row["w"], x + w) > max(row["x"], x) and min(row["y"] + row["h"], y + h) > max(row["y"], y)
 
     def partitions(self) -> list[InputPartition]:
         if self.table not in ("tiles", "payloads", "headers"):
@@ -300,14 +283,14 @@ class _Reader(DataSourceReader):
 
     def _tiles(self, f: File, part: _Part) -> Iterator[dict]:
         for row in f.directory(self.strict):
-            if part.first <= row["sb_index"] < part.last and _passes(row, self.filters):
+            if part.first <= row["sb_index"] < part.last and self._wanted(row):
                 yield row
 
     def read(self, part: _Part) -> Iterator[tuple]:
         f, u = File(part.uri), part.uri
         columns = [c.strip().split(" ")[0] for c in _TABLES[self.table].split(",")][1:]
         if self.table == "subblocks":
-            yield from ((u, *[r[c] for c in columns]) for r in f.directory(self.strict) if _passes(r, self.filters))
+            yield from ((u, *[r[c] for c in columns]) for r in f.directory(self.strict) if self._wanted(r))
         elif self.table in ("tiles", "payloads"):
             for r in self._tiles(f, part):
                 _, data, xml, attachment = f.payload(r["file_position"])
@@ -328,15 +311,6 @@ class _Reader(DataSourceReader):
             yield from ((u, *s) for s in f.walk())
 
 
-class _PruningReader(_Reader):
-    """Needs spark.sql.python.filterPushdown.enabled, which opened() sets."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """All are kept for pruning, and left to Spark too."""
-        self.filters = list(filters)
-        yield from filters
-
-
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -427,7 +401,7 @@ class Appender:
 
 
 class ContainerSource(DataSource):
-    """Options: path (a URI or a local path, * in its last part), table (subblocks, tiles, payloads, headers, attachments, metadata, files or segments), strict, tiles_per_partition, prune."""
+    """Options: path (a URI or a local path, * in its last part), table (subblocks, tiles, payloads, headers, attachments, metadata, files or segments), strict, tiles_per_partition; plane (C0T3) and roi (x,y,w,h) of the tiles wanted."""
 
     @classmethod
     def name(cls) -> str:
@@ -440,19 +414,22 @@ class ContainerSource(DataSource):
         return _TABLES[table]
 
     def reader(self, schema) -> DataSourceReader:
-        return (_PruningReader if self.options.get("prune") == "true" else _Reader)(self.options)
+        return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options)
 
 
 def registered(spark: SparkSession) -> SparkSession:
-    """The session with the format, and with what filters need to reach it."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """The session with the format."""
     spark.dataSource.register(ContainerSource)
     return ship(spark)
 
 
-def opened(spark: SparkSession, path: str, table: str = "subblocks", **options: str) -> DataFrame:
-    """A table of the files at a path."""
-    return registered(spark).read.format("tile_container").option("table", table).option("prune", "true").options(**options).load(path)
+def opened(spark: SparkSession, path: str, table: str = "subblocks", plane: dict[str, int] | None = None, roi: Rect | None = None, **options: str) -> DataFrame:
+    """A table of the files at a path; of tables of tiles, those on the plane that overlap the region."""
+    if plane:
+        options["plane"] = "".join(f"{d.upper()}{v}" for d, v in plane.items())
+    if roi:
+        options["roi"] = ",".join(map(str, roi))
+    return registered(spark).read.format("tile_container").option("table", table).options(**options).load(path)
