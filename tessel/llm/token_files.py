@@ -13,21 +13,24 @@ job commits, says which segments count, so a retried or speculative task leaves
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import NO_ID, chunks, new_path, written
+from tessel.llm.common import NO_ID, chunks, new_path, trimmed, written
 
 MAGIC = b"TKEFSEG1"
 #: id width, sample rate, documents, ids, least doc_id, then for ends and doc_ids: low bits, high bytes.
@@ -35,8 +38,14 @@ HEADER = struct.Struct("<IIQQqIIQQ")
 RATE = 256
 #: Ids in a segment, but for one longer document.
 SEGMENT_IDS = 8 << 20
-#: White-space pieces remembered by one worker, and the longest that is.
-MEMO, MEMO_CHARS = 200_000, 64
+#: Fixed value: how a tokenizer cuts words. LATIN: letters up to U+00FF. PLAIN: the same cuts for pieces that are SIMPLE.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(f"[{LATIN}]+|[0-9]|[^{LATIN}0-9]+").findall
+#: Printable ASCII but for the apostrophe, and the Latin letters of one code point, which no rule composes.
+SIMPLE = re.compile(f"[!-&(-~{LATIN[6:]}]+").fullmatch
+#: White-space pieces that each of a worker's two tables remembers, the longest that is, and how many the library gets at once.
+MEMO, MEMO_CHARS, JOINED = 400_000, 64, 1000
 
 
 class EliasFano:
@@ -136,30 +145,162 @@ def _open(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-class _Pieces(dict):
-    """White-space piece to its ids as bytes. No token crosses a space or a newline, so a text's ids are its pieces' ids."""
+class _Pieces:
+    """White-space pieces and their ids. No token crosses a space or a newline, so a text's ids are its pieces' ids.
+
+    A batch looks up each of its distinct pieces once. Ids stand in one array, pieces have a number. When the table is
+    full it becomes the old one, of which what is met again returns. New pieces go through the library many at a time:
+    SIMPLE ones are cut to words here, and as each word ends with a token that ends one they come apart again; others
+    are parted by a special token.
+    """
 
     def __init__(self, tokenizer_json: str, width: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), f"<u{width}"
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) >= MEMO:
-            self.clear()
-        new = [p for p in set(chain.from_iterable(split)) if p not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[piece] = np.array(got.ids, self.kind).tobytes()
-        out = [b"".join(map(self.__getitem__, pieces)) for pieces in split]
-        for piece in new:
-            if len(piece) > MEMO_CHARS:
-                self.pop(piece, None)
+        self.tokenizer, self.kind = Tokenizer.from_str(tokenizer_json), np.dtype(f"<u{width}")
+        self.known, self.old = _Table(self.kind), _Table(self.kind)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        #: Parts joined pieces, if the vocabulary has such a token.
+        self.mark, self.mark_id = max(special, default=("", -1), key=lambda x: x[1])
+        # A piece with the sign of every special token in it is looked at alone.
+        self.sign = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()]) if self.mark else ""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.plain = self._plain(json.loads(tokenizer_json)) if suffix else None
+        probe = ["plain", "zqxjk", "Capital", "a", "supercalifragilistic", "XVII", "end.", "(see", "a1b22", "x--y,", "$3.50!", "~#/A", "Über\u00e9-na\u00efve", "\u00c9T\u00c9", "stra\u00dfe"]
+        self.worded = bool(self.plain) and all(map(np.array_equal, self._words(probe), self._apart(probe)))
+
+    def _plain(self, held: dict):
+        """A tokenizer of the same model for SIMPLE words, and whether they are lower-cased; None if the rules say more about such words than PLAIN does."""
+        from tokenizers import Tokenizer
+
+        inside = lambda x, key: [y["type"] for y in x.get(key) or [x]] if x else []
+        normal, split = inside(held.get("normalizer"), "normalizers"), inside(held.get("pre_tokenizer"), "pretokenizers")
+        replaced = [n["pattern"] for n in (held.get("normalizer") or {}).get("normalizers", ()) if n["type"] == "Replace"]
+        cut = [s.get("pattern") for s in (held.get("pre_tokenizer") or {}).get("pretokenizers", ())[:1]]
+        if not set(normal) <= {"NFC", "Replace", "Lowercase"} or split != ["Split", "ByteLevel"] or any(p != {"Regex": r"\s+"} for p in replaced) or cut != [{"Regex": SPLIT}]:
+            return None
+        own = Tokenizer.from_str(json.dumps({**held, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, held["pre_tokenizer"]["pretokenizers"][1]]}, "added_tokens": []}))
+        return own, "Lowercase" in normal
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in a row, and how many each has; each piece is encoded alone."""
+        ids = self._ids(pieces)
+        return np.concatenate([*ids, np.empty(0, self.kind)]), np.array(list(map(len, ids)), np.int64)
+
+    def _words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of PLAIN, whose words are encoded together: a word ends with an id that ends one."""
+        tokenizer, lower = self.plain
+        words = [[p] if p.isalpha() else PLAIN(p) for p in pieces]
+        flat = list(chain.from_iterable(words))
+        texts = [" ".join(flat[i : i + JOINED]) for i in range(0, len(flat), JOINED)]
+        ids = np.concatenate([np.empty(0, self.kind), *self._ids([t.lower() for t in texts] if lower else texts, tokenizer)])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(flat) or sizes.sum() != len(ids):
+            raise ValueError("words do not come apart")
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(upto)
+
+    def _marked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces encoded together with the mark between them."""
+        held, sizes = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
+        for group, ids in zip(groups, self._ids([self.mark.join(g) for g in groups]), strict=True):
+            at = np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]])
+            sizes.append(np.diff(at) - 1)
+            if len(sizes[-1]) != len(group):
+                raise ValueError("pieces do not come apart")
+            held.append(ids[ids != self.mark_id])
+        return np.concatenate(held), np.concatenate(sizes)
+
+    def _kind(self, piece: str) -> int:
+        """1: words of PLAIN; 2: may stand beside the mark; 3: is looked at alone."""
+        if self.worded and piece.isascii() and piece.isalpha():
+            return 1
+        if not self.sign or self.sign in piece:
+            return 3
+        return 1 if self.worded and SIMPLE(piece) else 2
+
+    def _met(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces that the table lacks, which it has from then on."""
+        before = self.old.find(pieces)
+        kinds, new = np.zeros(len(pieces), np.int64), np.flatnonzero(before < 0)
+        kinds[new] = [self._kind(pieces[k]) for k in new.tolist()]
+        order = np.argsort(kinds, kind="stable")
+        ordered = [pieces[k] for k in order.tolist()]
+        a, b, c = np.searchsorted(kinds[order], [1, 2, 3]).tolist()
+        old = before[order[:a]]
+        parts = [(self.old.ids(old), self.old.sizes[old]), self._words(ordered[a:b]), self._marked(ordered[b:c]), self._apart(ordered[c:])]
+        out = np.empty(len(pieces), np.int64)
+        out[order] = self.known.add(ordered, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return out
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        # A piece holds no space, so that the distinct ones may cross to Python as one string.
+        pieces = " ".join(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ").to_pylist()).split(" ") if len(coded) else []
+        if len(self.known.number) >= MEMO:
+            self.known, self.old = _Table(self.kind), self.known
+        at = self.known.find(pieces)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            at[gaps] = self._met([pieces[k] for k in gaps.tolist()])
+        table, code = self.known, at[np.asarray(coded.indices)] if len(pieces) else np.empty(0, np.int64)
+        ids, ends = table.ids(code), np.concatenate([[0], np.cumsum(table.sizes[code])])
+        bounds = ends[np.asarray(split.offsets)].tolist()
+        table.forget()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+class _Table:
+    """Pieces by number, and the ids of each in one growing array."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.number: dict[str, int] = {}
+        self.held, self.begins, self.sizes = np.empty(1 << 16, kind), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.n = self.used = 0
+        self.long: list[str] = []
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of these pieces in a row."""
+        n = self.sizes[numbers]
+        return self.held[np.repeat(self.begins[numbers] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Gives the pieces numbers."""
+        for name, more, used in (("held", len(ids), self.used), ("begins", len(pieces), self.n), ("sizes", len(pieces), self.n)):
+            have = getattr(self, name)
+            if used + more > len(have):
+                grown = np.empty(max(used + more, 2 * len(have)), have.dtype)
+                grown[:used] = have[:used]
+                setattr(self, name, grown)
+        self.held[self.used : self.used + len(ids)] = ids
+        self.begins[self.n : self.n + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[self.n : self.n + len(pieces)] = sizes
+        self.number.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
+        out = np.arange(self.n, self.n + len(pieces))
+        self.n, self.used = self.n + len(pieces), self.used + len(ids)
+        self.long += [p for p in pieces if len(p) > MEMO_CHARS]
         return out
 
+    def forget(self) -> None:
+        """Drops the names of long pieces."""
+        for p in self.long:
+            self.number.pop(p, None)
+        self.long.clear()
+
 
 _workers: dict[str, _Pieces] = {}
 
@@ -205,8 +346,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
             seq, held = seq + 1, 0
             return row
 
-        for batch in chunks(batches, "text", 1 << 20):
-            for name, ids in zip(batch.column("id").to_pylist(), pieces.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+        for batch in chunks(batches, "text", 2 << 20):
+            for name, ids in zip(batch.column("id").to_pylist(), pieces.encode(batch.column("text")), strict=True):
                 names.append(name)
                 data.append(ids + end)
                 held += len(data[-1]) // width
@@ -217,7 +358,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").repartitionByRange("id").sortWithinPartitions("id", "text")
-    found = written(dealt.mapInArrow(rows, "part long, seq long, file string, n_docs long, n_ids long"), "segments")
+    found = written(dealt.mapInArrow(lambda x: trimmed(rows(x)), "part long, seq long, file string, n_docs long, n_ids long"), "segments")
     # Starts in two steps: over the few totals of partitions, then inside each partition.
     totals = found.groupBy("part").agg(F.sum("n_ids").alias("n"))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -227,7 +368,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the segment files: start counts the ids before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the segment files: start counts the ids before it.
+
+    Each document's bounds and doc_id come from selects in the Elias-Fano sections; no table of offsets is made.
+    """
+    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def documents(segment: Segment, which: range, first: int) -> pa.RecordBatch:
+        out = []
+        begin = segment.bounds(which[0])[0]
+        for i in which:
+            end, name = segment.ends.select(i), segment.doc_id(i)
+            out.append((None if name == NO_ID else name, begin + first, end - begin, zlib.crc32(segment.ids[begin:end].astype("<u4").tobytes())))
+            begin = end
+        return pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,13 +389,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 fs, at = _open(uri)
                 with fs.open_input_file(at) as f:
                     segment = Segment(f.read())
-                ends = segment.ends.all().astype(np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                names = (segment.names.all() + np.array([segment.least], np.int64).view(np.uint64)).view(np.int64)
-                sums = [zlib.crc32(segment.ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, mask=names == NO_ID), pa.array(begins + first), pa.array(ends - begins), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-                )
+                for i in range(0, segment.n, 4096):
+                    yield documents(segment, range(i, min(i + 4096, segment.n)), first)
 
     files = manifest.select("file", "start").repartition("file")
     return files.mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
