@@ -20,7 +20,7 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A source's quartiles count as if so many documents had its language's, and a language's as if so many had the corpus's.
-PRIOR = 50
+PRIOR = 20
 #: Quartiles and fences are integers in such parts of a measure's unit.
 UNIT = 1000
 #: Fences stand this many quartile ranges beyond the quartiles.
