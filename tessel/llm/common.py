@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only separator of words.
 SPACE = r"[\x20\x09-\x0D]+"
-#: A null id inside link tables; it sorts before every other id.
+#: A null id inside tables; it sorts before every other id. A doc_id of this very value, the least there is, comes back as null.
 NO_ID = -(2**63)
-#: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one vectorised step works on; its arrays take some forty times as much.
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Only where all is one process, as in tests, is one made if it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not (spark.sparkContext.master or "").startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessel-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,10 +36,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessel-{uuid.uuid4().hex}/{tag}"
 
 
+#: Makes Spark delete the shuffle files of a query when it ends; else they stay until the driver's garbage is collected.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    """df, written to the shared folder and read again: cuts the lineage, survives lost executors. Its shuffle files go at once."""
+    path, conf = new_path(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+    finally:
+        conf.set(TIDY, before) if before else conf.unset(TIDY)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.tessel_path = path
     return out
@@ -49,10 +61,19 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage is collected."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def trimmed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; when they end, the worker gives freed memory back, since it waits for its next task with what it has."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The size of the files of a table that written() made."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.tessel_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

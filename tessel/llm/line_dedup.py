@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are compared lower-cased (A-Z) and with white space collapsed. A line is a set of character shingles; MinHash
-samples in many short bands give candidates with high recall, the full sets decide by exact Jaccard similarity, and
-a distributed union-find over the links makes components. The first line of each component stays.
+samples in many bands give candidates with high recall, the full sets decide by exact Jaccard similarity, and a
+distributed union-find over the links makes components. The first line of each component stays.
 
-Equal lines are one node, named by a 64-bit hash of the line, so a line that is in a third of all documents costs a
-narrow row each time it occurs and one node. Occurrences carry no text; the text of a document moves once, and only
-where one of its lines is a candidate.
+Equal lines are one node, so a line that is in a third of all documents costs a narrow row each time it occurs and one
+node. The lines are written once; signatures, candidates and proofs are made from that table, and the texts of documents
+move through no shuffle. A node is named by a 64-bit hash of its line, and wherever lines are taken for equal another
+32 bits must agree.
 """
 
 from __future__ import annotations
@@ -15,136 +16,179 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import NO_ID, chunks, fresh, let, written
-from tessel.llm.links import components, linked
-from tessel.llm.near_dup import _lists
-from tessel.llm.shingles import MinHash, mix, powers, prefix_sums, spans_hashes
+from tessel.llm import buckets
+from tessel.llm.common import NO_ID, chunks, drop, fresh, let, table_bytes, trimmed, written
+from tessel.llm.shingles import MinHash
 
 #: Characters in a shingle; a shorter line is one shingle. One changed character changes so many shingles at most.
 WIDTH = 5
-#: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 3) ** 12, 2 in 10,000; of 0.9, 1 in 10 million.
-BANDS, ROWS = 12, 3
-#: Samples and bits of the sketches of candidate lines, which turn away pairs well below the least similarity.
-SAMPLES, BITS = 256, 512
-MARGIN = 0.14
-#: Nodes that a task remembers to have sent.
-SENT = 500_000
-
-
-def lines_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with a word in them: (text, line number, begin, end) and the code points that begin and end point into, normalised."""
-    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.where((points >= 65) & (points <= 90), points + 32, points)
-    blank = (points == 32) | ((points >= 9) & (points <= 13) & (points != 10))
-    after = np.ones(len(points), bool)
-    after[:-1] = blank[1:] | (points[1:] == 10)
-    points = points[~(blank & after)]  # white space before white space or a line's end
-    blank = (points == 32) | ((points >= 9) & (points <= 13) & (points != 10))
-    before = np.ones(len(points), bool)
-    before[1:] = points[:-1] == 10
-    points = np.where(blank, np.uint32(32), points)[~(blank & before)]
-    ends = np.append(np.flatnonzero(points == 10), len(points))
-    begins = np.append(0, ends[:-1] + 1)
-    counts = np.array([t.count("\n") + 1 for t in texts])
-    text = np.repeat(np.arange(len(texts)), counts)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    full = ends > begins
-    return text[full], number[full], begins[full], ends[full], points
-
-
-def shingles_of(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the lines, hashes of all their shingles, and where each line's begin."""
-    sums = prefix_sums(mix(points.astype(np.uint64) + np.uint64(1)))
-    size = np.minimum(ends - begins, WIDTH)
-    counts = ends - begins - size + 1
-    first = np.cumsum(counts) - counts
-    at = np.arange(int(counts.sum())) + np.repeat(begins - first, counts)
-    to = at + np.repeat(size, counts)
-    grams = mix((sums[to] - sums[at]) * powers(len(sums))[1][at])
-    return spans_hashes(sums, begins, ends), grams, first
+#: Bands of six samples. Each sample is in two bands, in another company: simulated, a pair of similarity 0.8 shares no
+#: band with probability 12 in 10,000, of 0.85 with 4 in 100,000.
+BANDS, ROWS, SAMPLES = 28, 6, 84
+#: Bytes of lines that a task remembers to have met.
+MET_BYTES = 64 << 20
+
+
+def lines_of(text: bytes) -> Iterator[tuple[int, bytes]]:
+    """(number, normalised line) of the lines with a word in them."""
+    for k, line in enumerate(text.lower().split(b"\n")):
+        if words := line.split():
+            yield k, b" ".join(words)
+
+
+def _windows(lines: list[str], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash for each run of WIDTH code points of the lines in a row, and where each line's shingles begin and end there."""
+    padded = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\n") for x in lines]  # no line holds a line feed
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind, copy=False)
+    n = len(points) - WIDTH + 1
+    step, half = (kind(0x9E3779B1), kind(15)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(31))
+    grams = points[:n] * step
+    for j in range(1, WIDTH):
+        grams += points[j : j + n]
+        grams *= step
+        grams ^= grams >> half
+    grams *= step
+    grams ^= grams >> half
+    sizes = np.array([len(x) for x in padded])
+    ends = np.cumsum(sizes)
+    return grams, ends - sizes, ends - WIDTH + 1
+
+
+def signatures(lines: list[str], hasher: MinHash, block: int = 1 << 15) -> np.ndarray:
+    """The MinHash samples of each line's shingles: (lines, samples)."""
+    grams, begins, tops = _windows(lines, np.uint32)
+    out = np.empty((len(lines), hasher.count), np.uint32)
+    k = 0
+    while k < len(lines):
+        to = max(k + 1, int(np.searchsorted(tops, begins[k] + block, "right")))
+        # Even places are the lines' shingles, odd ones the windows over two lines.
+        cut = np.column_stack([begins[k:to], tops[k:to]]).ravel()[:-1] - begins[k]
+        part = grams[begins[k] : tops[to - 1]]
+        held = np.empty_like(part)
+        for j in range(hasher.count):
+            np.multiply(part, hasher.a[j], out=held)  # a permutation, the factor being odd
+            out[k:to, j] = np.minimum.reduceat(held, cut)[::2]
+        k = to
+    return out
+
+
+def banded(samples: np.ndarray) -> np.ndarray:
+    """Samples in the order of their bands: in a row, then along the diagonals of a grid of bands."""
+    grid = np.arange(SAMPLES).reshape(ROWS, -1)
+    diagonals = [[grid[r, (c + 5 * r) % grid.shape[1]] for r in range(ROWS)] for c in range(grid.shape[1])]
+    return samples[:, np.concatenate([np.arange(SAMPLES), np.ravel(diagonals)])]
+
+
+def shingle_sets(lines: list[str]) -> buckets.Sets:
+    """The sets of shingles of up to LOT lines."""
+    grams, begins, tops = _windows(lines, np.uint64)
+    sizes = tops - begins
+    at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+    return buckets.Sets(grams[at], np.repeat(np.arange(len(lines)), sizes), len(lines))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """A written table (id, tell, doc, mark, line, of, text): each line with a word; mark is a hash of the document's text, of how many such lines it has.
+
+    id and tell are hashes of the normalised line; text, the line itself, is there when a task meets it first.
+    """
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    kinds = [pa.int64(), pa.int32()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[int, int]] = {}
+        held = 0
+        for part in chunks(batches, "text", 1 << 20):
+            names, counts, numbers, first = [], [], [], []
+            for text in part.column("text").to_pylist():
+                before = len(names)
+                for number, line in lines_of(text or b""):
+                    name = known.get(line)
+                    first.append(None if name else line.decode())
+                    if name is None:
+                        digest = xxhash.xxh3_128_intdigest(line)
+                        name = known[line] = (digest >> 64) - 2**63, (digest & 0xFFFFFFFF) - 2**31
+                        held += len(line) + 100
+                    names.append(name)
+                    numbers.append(number)
+                counts.append(len(names) - before)
+            if names:
+                at = np.repeat(np.arange(len(counts)), counts)
+                own = [pa.array(x, kind) for x, kind in zip(zip(*names, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, part.column("doc").take(pa.array(at)), part.column("mark").take(pa.array(at)), pa.array(numbers), pa.array(np.array(counts)[at]), pa.array(first, pa.string())], ["id", "tell", "doc", "mark", "line", "of", "text"])
+            if held > MET_BYTES:
+                known.clear()
+                held = 0
+
+    return written(texts.mapInArrow(lambda x: trimmed(rows(x)), "id long, tell int, doc long, mark long, line long, of long, text string"), "lines")
+
+
+def line_links(lines: DataFrame, percent: int) -> DataFrame:
+    """(id, root) of the ids in lines that the law links to others, directly or through others."""
+    hasher = MinHash(SAMPLES, 1, seed=9)
+    bands = MinHash(BANDS, ROWS)
+    nodes = lines.where("text is not null").select("id", "tell", "text")
+
+    def signed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        samples = signatures(batch.column("text").to_pylist(), hasher)
+        return np.asarray(batch.column("id")), bands.band_keys(banded(samples)).view(np.uint64)
+
+    sets = buckets.met(nodes.select("id", "text"), signed, table_bytes(lines))
+    wanted = sets.select(F.explode("ids").alias("id")).distinct()
+    # Unlike lines under one hash, should there ever be such, are not compared: they stay.
+    texts = nodes.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"), F.min("tell").alias("p"), F.max("tell").alias("q"))
+    texts = written(texts.where("p = q").select("id", "text"), "candidates")
+
+    def proven(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, buckets.LOT // 2):
+                part = batch.slice(k, buckets.LOT // 2)
+                # The first of a set stands in many pairs, which come one after the other.
+                at, first = np.unique(np.asarray(part.column("a")), return_index=True)
+                sets = shingle_sets(part.column("ta").take(pa.array(first)).to_pylist() + part.column("tb").to_pylist())
+                good = pa.array(sets.like(np.searchsorted(at, part.column("a")), len(at) + np.arange(part.num_rows), percent))
+                yield part.select(["a", "b"]).filter(good)
+
+    star = buckets.stars(sets).join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").sortWithinPartitions("a")
+    out = buckets.closed(sets, star.mapInArrow(lambda x: trimmed(proven(x)), "a long, b long"), texts, lambda rows: (shingle_sets([r[0].as_py() for r in rows]), None), percent)
+    drop(sets)
+    drop(texts)
+    return out
+
+
+def _duplicates(lines: DataFrame, percent: int) -> DataFrame:
+    """(doc, mark, line, first): each line of a line_table() to drop and the place that stands for it; repeated rows give repeated results."""
+    root = line_links(lines, percent)
+    place = F.struct("doc", "mark", "line")
+    # Lines are counted under their hashes first; a hash of unlike lines, should there ever be such, drops none.
+    met = lines.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("tell").alias("p"), F.max("tell").alias("q")).where("p = q")
+    met = written(met.join(root, "id", "left").where("n > 1 or root is not null").select("id", "root", "first"), "met")
+    best = met.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
+    keep = met.join(best, "root", "left").select("id", F.coalesce("best", "first").alias("first"))
+    return lines.select("id", "doc", "mark", "line").join(keep, "id").where(place != F.col("first")).drop("id")
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, line, keep_doc, keep_line): each line to drop, with the line that stands for it.
+    """(doc_id, mark, line, keep_doc, keep_line): each line to drop, with the line that stands for it.
 
     Lines end at \\n and are numbered from 0; lines without a word are never compared. Two lines link when
-    100 * shared >= percent * united shingles; of a component the line with the least (doc_id, number) stays, a null
-    doc_id being least. Repeated rows have the same lines at the same place and share their fate.
+    100 * shared >= percent * united shingles; of a component the line with the least (doc_id, mark, number) stays, a
+    null doc_id being least. mark is xxhash64 of the text, so that rows which share a doc_id, or have none, are told
+    apart by their texts. Repeated rows have the same lines at the same place and share their fate. Null, empty and
+    blank texts have no lines; an empty table gives an empty one; columns other than doc_id and text are ignored.
     """
-    hasher, sketcher = MinHash(BANDS, ROWS, seed=9), MinHash(SAMPLES, 1, BITS, seed=10)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for part in chunks(batches, "text", 1 << 20):
-            text, number, begins, ends, points = lines_of([t or "" for t in part.column("text").to_pylist()])
-            if not len(text):
-                continue
-            names, grams, first = shingles_of(points, begins, ends)
-            names = names.view(np.int64)
-            x = (grams >> np.uint64(32)).astype(np.uint32)
-            samples = np.empty((len(names), hasher.count), np.uint32)
-            for j in range(hasher.count):
-                samples[:, j] = np.minimum.reduceat(x * hasher.a[j] + hasher.b[j], first)
-            if len(sent) > SENT:
-                sent.clear()
-            new = np.array([n not in sent and not sent.add(n) for n in names.tolist()])
-            docs_ = np.asarray(part.column("doc"))[text]
-            counts = new.astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array(docs_), pa.array(number), _some(hasher.band_keys(samples[new]), counts)], ["id", "doc", "line", "bands"]
-            )
-
-    signs = written(texts.mapInArrow(signed, "id long, doc long, line long, bands array<long>"), "line_signs")
-    seen = written(signs.select("id", "doc", "line"), "lines")
-    nodes = signs.where("bands is not null").select("id", "bands")
-    nodes.tessel_path = signs.tessel_path
-
-    def grams(ids: DataFrame) -> DataFrame:
-        first = seen.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc", "line")).alias("at"))
-        wanted = first.groupBy("at.doc").agg(F.collect_set("id").alias("ids"))  # at most the lines of one document
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "text", 1 << 20):
-                asked = [set(x) for x in part.column("ids").to_pylist()]
-                text, _, begins, ends, points = lines_of([t or "" for t in part.column("text").to_pylist()])
-                if not len(text):
-                    continue
-                names, every, first = shingles_of(points, begins, ends)
-                bounds = np.append(first, len(every))
-                ids_, found = [], []
-                for k, (t, name) in enumerate(zip(text.tolist(), names.view(np.int64).tolist(), strict=True)):
-                    if name in asked[t]:
-                        asked[t].discard(name)
-                        ids_.append(name)
-                        found.append(np.unique(every[bounds[k] : bounds[k + 1]]).view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
-                values = np.concatenate(found) if found else np.empty(0, np.int64)
-                odd = sketcher.odd_sketches(np.array([sketcher.samples(g.view(np.uint64)) for g in found]).reshape(-1, SAMPLES))
-                yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
-
-        return texts.join(wanted, "doc").select("text", "ids").mapInArrow(sets, "id long, grams array<long>, sketch array<long>").dropDuplicates(["id"])
-
-    def test(shared, a, b):
-        return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
-
-    links = linked(nodes, grams, test, sketcher.most_odd(percent / 100 - MARGIN))
-    root = written(components(links), "line_roots")
-    group = seen.join(root, "id", "left").select(F.coalesce("root", "id").alias("root"), "doc", "line")
-    first = group.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    out = group.join(first, "root").where("doc <> first.doc or line <> first.line")
     name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(name("doc").alias("doc_id"), "line", name("first.doc").alias("keep_doc"), F.col("first.line").alias("keep_line")).distinct()
+    return _duplicates(line_table(docs), percent).select(name("doc").alias("doc_id"), "mark", "line", name("first.doc").alias("keep_doc"), F.col("first.line").alias("keep_line")).distinct()
 
 
-def _some(table: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    """The rows of the table at the places where counts has 1, null elsewhere."""
-    k = table.shape[1]
-    offsets = pa.array(np.concatenate([[0], np.cumsum(counts) * k]).astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(table.ravel()), mask=pa.array(counts == 0))
+def _lost(lines: DataFrame, percent: int, id_: str, mark: str, gone: str) -> DataFrame:
+    """The numbers of the lines to drop, ascending, by document: at most the lines of one document."""
+    lost = _duplicates(lines, percent)
+    return lost.groupBy(F.col("doc").alias(id_), F.col("mark").alias(mark)).agg(F.sort_array(F.collect_set("line")).alias(gone))
 
 
 def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -153,23 +197,25 @@ def line_report(docs: DataFrame, percent: int = 80) -> DataFrame:
     n_lines counts the lines with a word; dropped_lines are numbers of lines, ascending. Null and empty texts have no
     lines and are kept. Repeated rows get the same answer each; an empty table gives an empty one.
     """
-    gone = duplicate_lines(docs, percent).groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("dropped_lines"))  # at most the lines of one document
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select(F.col("doc_id").cast("long"), F.size(lines).cast("long").alias("n_lines"))
-    out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    n = F.coalesce(F.size("dropped_lines"), F.lit(0)).cast("long")
+    lines, keys = line_table(docs), ["doc", "mark"]
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"))
+    gone = _lost(lines, percent, "doc", "mark", "dropped_lines")
+    out = rows.join(lines.groupBy(*keys).agg(F.max("of").alias("of")).join(gone, keys, "left"), keys, "left")
+    out = out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), F.coalesce("of", F.lit(0).cast("long")).alias("n_lines"), "dropped_lines")
     none = F.expr("cast(array() as array<long>)")
-    return out.select("doc_id", "n_lines", F.when(F.col("dropped_lines").isNull(), 0).otherwise(n).cast("long").alias("n_dropped"), F.coalesce("dropped_lines", none).alias("dropped_lines"), ((F.col("n_lines") == 0) | F.col("dropped_lines").isNull() | (n < F.col("n_lines"))).alias("kept"))
+    n = F.size(F.coalesce("dropped_lines", none)).cast("long")
+    return out.select("doc_id", "n_lines", n.alias("n_dropped"), F.coalesce("dropped_lines", none).alias("dropped_lines"), ((F.col("n_lines") == 0) | (n < F.col("n_lines"))).alias("kept"))
 
 
 def drop_duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with each text less its dropped lines, and without the documents none of whose lines with words stay.
 
-    Columns are those of docs; n_chars, where there is one, counts the new text's characters. Other texts are unchanged.
+    Columns are those of docs; n_chars, where there is one, counts the new text's characters. Other texts, null and
+    empty ones among them, are unchanged; repeated rows stay repeated; an empty table gives an empty one.
     """
-    id_, gone = fresh(docs, "_doc", "_gone")
-    lost = duplicate_lines(docs, percent).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line").alias(gone))
-    both = docs.join(lost, docs["doc_id"].eqNullSafe(F.col(id_)), "left")
+    id_, mark, gone = fresh(docs, "_doc", "_mark", "_gone")
+    lost = _lost(line_table(docs), percent, id_, mark, gone)
+    both = docs.join(lost, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(mark)), "left")
     lines = F.split("text", "\n")
     at = F.array_except(F.transform(lines, lambda _, i: i.cast("long")), F.col(gone))
     kept = let(lines, lambda x: F.array_join(F.transform(at, lambda i: F.get(x, i.cast("int"))), "\n"))
@@ -178,4 +224,3 @@ def drop_duplicate_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
-

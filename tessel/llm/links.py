@@ -1,22 +1,11 @@
-"""Verified links from shared bands, and components of links, as distributed tables.
-
-Nothing here holds a group in one task: a bucket of equal band keys is reduced by map-side combined
-aggregates, pairs are stars around one member of the bucket, and only what the stars leave apart is
-compared further, inside a join whose condition tests the sketches before a row is made.
-"""
+"""Components of links, as distributed tables: a hub with any number of links is a skewed join, never a list in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessel.llm.common import drop, release, written
-
-
-#: Distinct hashes of a set that goes along whole where many are compared.
-SMALL = 200
+from tessel.llm.common import drop, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Rounds of large-star and small-star until no link changes; each is two aggregates and two joins, so a
     hub with any number of links is a skewed join that AQE splits, not a list in one task.
     """
-    edges = written(_distinct(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "links")
-    state = _digest(edges)
+    edges, state = _written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -35,12 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         nxt = small.select("u", F.col("m").alias("v")).unionByName(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        nxt = written(_distinct(nxt), "links")
+        before, old = state, edges
+        edges, state = _written(nxt)
         drop(large)
-        drop(edges)
-        edges, before, state = nxt, state, _digest(nxt)
+        drop(old)
         if state == before:
-            release(edges)
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
@@ -48,104 +35,8 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").distinct()
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def linked(
-    nodes: DataFrame,
-    grams: Callable[[DataFrame], DataFrame],
-    test: Callable[[F.Column, F.Column, F.Column], F.Column],
-    most_odd: int,
-) -> DataFrame:
-    """All verified links, up to transitive ones, between nodes that share a band: (a, b), a < b.
-
-    nodes: id, bands array<long>, a written table; it is dropped once it has been read. An id may have several equal
-    rows, as many as tasks met it. grams(ids) gives (id, grams array<long>, distinct hashes; sketch array<long>) for
-    a table of ids. test(shared, size_a, size_b) decides on exact sizes. Pairs whose odd sketches differ in more
-    than most_odd bits are never verified; of the others each node's likeliest pairs come first, and a pair whose
-    ends have meanwhile been connected is not looked at again. No pair that could still connect is left out.
-    """
-    members = nodes.select("id", F.explode("bands").alias("key"))
-    key = Window.partitionBy("key")
-    shared = members.withColumns({"lo": F.min("id").over(key), "hi": F.max("id").over(key), "n": F.count("*").over(key)}).where("lo < hi").distinct()
-    shared = written(shared.select("key", "id", "n"), "shared")
-    drop(nodes)
-    release(shared)
-    sets = written(grams(shared.select("id").distinct()), "sets")
-    release(sets)
-    sketches = written(sets.select("id", "sketch"), "sketches")
-
-    # Stars: each member with the member of its bucket that meets most others in all buckets. The original of many
-    # copies is such a one, so that their buckets have one hub and a copy has one pair.
-    met = shared.groupBy("id").agg(F.sum("n").alias("met"))
-    hub = shared.join(met, "id").groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("hub"))
-    star = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = written(star.select("a", "b", _apart("sa", "sb").alias("odd")).where(F.col("odd") <= most_odd), "stars")
-    del star, hub, met
-    tested = written(_likeliest(pairs, 2), "pairs")
-    drop(pairs)
-    drop(sketches)
-    links = written(_verified(tested, sets, test), "verified")
-    release(links)
-
-    # What the stars left apart: members of one bucket that are in different components.
-    root = components(links)
-    label = shared.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    apart = label.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("key")
-    held = label.join(apart, "key").groupBy("id", "root").agg(F.collect_set("key").alias("keys"))  # at most the bands of one node
-    # A small set goes along whole and is compared exactly inside the join; a large one is judged by its sketch there.
-    # Sets of which one is small and one large enough to have no place here are too unlike in size.
-    size = F.size("grams")
-    proofs = sets.select("id", size.alias("size"), F.when(size <= SMALL, F.col("grams")).alias("proof"), F.when(size > SMALL * 0.75, F.col("sketch")).alias("sketch"))
-    open_ = written(held.join(proofs, "id").select(F.explode("keys").alias("key"), "id", "root", "keys", "size", "proof", "sketch"), "open")
-    x, y = (open_.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "root", "keys", "size", "proof", "sketch")]) for s in "xy")
-    odd = F.coalesce(_apart("sketch_x", "sketch_y"), F.lit(0))
-    exact = test(F.size(F.array_intersect("proof_x", "proof_y")), F.col("size_x"), F.col("size_y"))
-    close = test(F.least("size_x", "size_y"), F.col("size_x"), F.col("size_y"))
-    small = F.col("proof_x").isNotNull() & F.col("proof_y").isNotNull()
-    # A pair of several common bands is made in the least of them only.
-    once = x.key == F.array_min(F.array_intersect("keys_x", "keys_y"))
-    fits = F.when(small, exact).otherwise(odd <= most_odd)
-    rest = x.join(y, (x.key == y.key) & (F.col("root_x") < F.col("root_y")) & close & fits & once).select(
-        F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), odd.alias("odd")
-    )
-    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    drop(open_)
-    drop(shared)
-    release(rest)
-    for most in (2, 16, None):
-        if rest.isEmpty():
-            break
-        tested = written(_likeliest(rest, most) if most else rest.select("a", "b"), "pairs")
-        links = links.unionByName(written(_verified(tested, sets, test), "verified"))
-        release(links)
-        if most:
-            root = components(links)
-            for end in "ab":
-                rest = rest.join(root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-            left = rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "odd")
-            rest = written(left.join(tested, ["a", "b"], "left_anti"), "rest")
-    drop(sets)
-    return links
-
-
-def _likeliest(pairs: DataFrame, most: int) -> DataFrame:
-    """(a, b): for each node its pairs with the fewest odd bits. A window that keeps so few rows of a node ranks them before the shuffle too."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "odd").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "odd"))
-    rank = Window.partitionBy("u").orderBy("odd", "v")
-    best = both.withColumn("k", F.row_number().over(rank)).where(F.col("k") <= most)
-    return best.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-
-
-def _apart(p: str, q: str) -> F.Column:
-    """The XOR population count of two sketches."""
-    return F.aggregate(F.zip_with(p, q, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
-    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where(test(F.size(F.array_intersect("ga", "gb")), F.size("ga"), F.size("gb"))).select("a", "b")
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The distinct edges, written, and a digest of them that the same pass has made."""
+    seen = Observation()
+    out = written(_distinct(edges).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links")
+    return out, seen.get

@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import NO_ID, chunks, drop, fresh, written
-from tessel.llm.links import components, linked
+from tessel.llm import buckets
+from tessel.llm.common import NO_ID, chunks, drop, fresh, table_bytes, trimmed, written
 from tessel.llm.shingles import MinHash, shingle_sets
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40, 6 in a million.
@@ -79,31 +79,52 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 ["id", "digest", "n_shingles", "node", "bands"],
             )
 
-    signs = written(texts.mapInArrow(signed, "id long, digest long, n_shingles long, node long, bands array<long>"), "signs")
+    signs = written(texts.mapInArrow(lambda x: trimmed(signed(x)), "id long, digest long, n_shingles long, node long, bands array<long>"), "signs")
     member = written(signs.drop("bands"), "member")
     owner = written(member.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "digest")).alias("first")), "owners")
     nodes = signs.where("bands is not null").select(F.col("node").alias("id"), "bands")
-    nodes.tessel_path = signs.tessel_path
-
-    def grams(ids: DataFrame) -> DataFrame:
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in chunks(batches, "text"):
-                found = list(shingle_sets(part.column("text"), width))
-                offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
-                values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-                odd = sketcher.odd_sketches(np.array([sketcher.samples(g, 256) if len(g) else np.zeros(SAMPLES, np.uint32) for g in found]))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
-
-        # Copies need no set of their own: only texts that own a set are made again.
-        own = owner.join(ids.withColumnRenamed("id", "node"), "node", "left_semi").select("node", "first.id", "first.digest")
-        own = texts.join(own, ["id", "digest"]).select("node", "text")
-        return own.mapInArrow(sets, "id long, grams array<long>, sketch array<long>").dropDuplicates(["id"])
-
-    def test(shared, a, b):
-        return (100 * shared >= percent * (a + b - shared)) & (shared > 0)
-
-    links = linked(nodes, grams, test, sketcher.most_odd(percent / 100 - MARGIN))
-    root = written(components(links).withColumnRenamed("id", "node"), "roots")
+
+    def keyed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.asarray(batch.column("id")), np.asarray(batch.column("bands").flatten()).view(np.uint64).reshape(batch.num_rows, BANDS)
+
+    met = buckets.met(nodes, keyed, table_bytes(signs), entry_ratio=2.0)
+    drop(signs)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            found = list(shingle_sets(part.column("text"), width))
+            offsets = np.concatenate([[0], np.cumsum([len(g) for g in found])]).astype(np.int32)
+            values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            odd = sketcher.odd_sketches(np.array([sketcher.samples(g, 256) if len(g) else np.zeros(SAMPLES, np.uint32) for g in found]))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), _lists(odd)], ["id", "grams", "sketch"])
+
+    # Copies need no set of their own: only texts that own a set are made again.
+    wanted = met.select(F.explode("ids").alias("node")).distinct()
+    own = owner.join(wanted, "node", "left_semi").select("node", "first.id", "first.digest")
+    own = texts.join(own, ["id", "digest"]).select("node", "text").dropDuplicates(["node"])
+    held = written(own.mapInArrow(lambda x: trimmed(sets(x)), "id long, grams array<long>, sketch array<long>"), "sets")
+    most = sketcher.most_odd(percent / 100 - MARGIN)
+
+    # Stars: the sketches turn the unlike pairs away, the sets prove the others.
+    ends = [held.select(F.col("id").alias(e), F.col("sketch").alias(f"s{e}")) for e in "ab"]
+    likely = buckets.stars(met).join(ends[0], "a").join(ends[1], "b").where(_apart("sa", "sb") <= most).select("a", "b")
+    both = written(likely, "likely").join(held.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(held.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
+    shared, united = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb") - F.size(F.array_intersect("ga", "gb"))
+    links = both.where((100 * shared >= percent * united) & (shared > 0)).select("a", "b")
+
+    def made(rows: list[tuple]) -> tuple[buckets.Sets, buckets.Near]:
+        grams = [np.asarray(r[0].values).view(np.uint64) for r in rows]
+        sketch = np.array([np.asarray(r[1].values) for r in rows]).view(np.uint64)
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            steps = range(0, len(i), 1 << 16)
+            return np.concatenate([np.bitwise_count(sketch[i[k : k + (1 << 16)]] ^ sketch[j[k : k + (1 << 16)]]).sum(axis=1, dtype=np.int64) <= most for k in steps] or [np.empty(0, bool)])
+
+        return buckets.Sets(np.concatenate(grams), np.repeat(np.arange(len(rows)), list(map(len, grams))), len(rows)), near
+
+    root = buckets.closed(met, links, held, made, percent).withColumnRenamed("id", "node")
+    drop(met)
+    drop(held)
     best = owner.join(root, "node").groupBy("root").agg(F.min(F.struct("first.id", "first.digest", "node")).alias("best"))
     home = owner.join(root.join(best, "root").select("node", "best"), "node", "left")
     home = home.select("node", F.coalesce("best.id", "first.id").alias("root"), F.coalesce("best.node", "node").alias("kept_node"))
@@ -113,6 +134,11 @@ def _judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return out.select("id", "digest", "node", "n_shingles", F.when(full, F.col("root")).otherwise(F.col("id")).alias("root"), kept.alias("kept"))
 
 
+def _apart(p: str, q: str) -> F.Column:
+    """The XOR population count of two sketches."""
+    return F.aggregate(F.zip_with(p, q, lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+
+
 def _some(table: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """The rows of the table at the places where counts has 1, null elsewhere."""
     offsets = pa.array(np.concatenate([[0], np.cumsum(counts) * table.shape[1]]).astype(np.int32))

@@ -182,27 +182,63 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
-def test_every_lawful_overlap_is_found():
-    """All places of substitutions in passages of 10 to 20 tokens, against the law in brute force, seeds included."""
-    law = lambda e: any(sum(e[i:j]) >= 10 and 5 * sum(e[i:j]) >= 4 * (j - i) for i in range(len(e)) for j in range(i + 10, len(e) + 1))
-    for n, k in ((10, 0), (10, 1), (11, 1), (12, 1), (12, 2), (15, 3), (16, 2), (16, 3), (20, 3), (20, 4)):
-        item = [f"t{i}" for i in range(n)]
-        block = decontaminate.Block([1], [" ".join(item)])
-        ways = list(itertools.combinations(range(n), k))
-        texts = [" ".join(f"s{i}" if i in way else w for i, w in enumerate(item)) for way in ways]
-        found = block.overlaps(*word_hashes(pa.array(texts), blank=NOT_WORD))
-        for way, got in zip(ways, found, strict=True):
-            assert bool(got) == law([i not in way for i in range(n)]), (n, way)
-            assert all(o["n_equal"] >= 10 and 5 * o["n_equal"] >= 4 * o["n_words"] for o in got)
+def _hashed(text):
+    return word_hashes(pa.array([text]), blank=NOT_WORD)[0]
+
+
+def _lawful(equal, n):
+    """Whether some stretch of the line-up is an overlap with an item of n tokens, by trying all."""
+    least = min(10, -(-8 * n // 10))
+    return any(sum(equal[i:j]) >= least and 5 * sum(equal[i:j]) >= 4 * (j - i) for i in range(len(equal)) for j in range(i + least, len(equal) + 1))
 
 
-def test_overlap_blocks_add_up(spark, monkeypatch):
+def test_every_lawful_overlap_is_found():
+    """Items of 4 to 30 tokens with none, one and two substitutions at all places, and more in some, against the law in brute force."""
+    more = [(15, 3), (16, 3), (20, 3), (20, 4)]
+    for n, k in [(n, k) for n in range(4, 31) for k in (0, 1, 2)] + more:
+        item = [f"t{i}" for i in range(n)]
+        for way in itertools.combinations(range(n), k):
+            text = ["before", *(f"s{i}" if i in way else w for i, w in enumerate(item)), "after"]
+            got = decontaminate.spans(_hashed(" ".join(text)), _hashed(" ".join(item)))
+            assert bool(got) == _lawful([i not in way for i in range(n)], n), (n, way)
+            for first, size, equal in got:
+                own = [i not in way for i in range(first - 1, first - 1 + size)]
+                assert equal == sum(own) and 5 * equal >= 4 * size and equal >= min(10, -(-8 * n // 10))
+
+
+def test_parts_of_long_items_are_found():
+    rng = random.Random(40)
+    for _ in range(300):
+        item = [f"t{i}" for i in range(rng.randint(12, 60))]
+        a = rng.randrange(len(item) - 9)
+        part = item[a : rng.randint(a + 8, len(item))]
+        way = set(rng.sample(range(len(part)), rng.randint(0, 3)))
+        text = [f"x{i}" for i in range(rng.randint(0, 9))] + [f"s{i}" if i in way else w for i, w in enumerate(part)] + ["y"]
+        got = decontaminate.spans(_hashed(" ".join(text)), _hashed(" ".join(item)))
+        assert bool(got) == _lawful([i not in way for i in range(len(part))], len(item))
+
+
+def test_periodic_texts_cost_little():
+    import time
+
+    began = time.time()
+    for item, text in (("a " * 800, "a " * 20_000), ("a b " * 400, "b a c " * 5000), ("a a a a b " * 100, "a a a a c " * 4000)):
+        got = decontaminate.spans(_hashed(text), _hashed(item))
+        assert bool(got) == ("b a" not in text), (item[:10], got[:3])
+    assert time.time() - began < 30
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     rng = random.Random(14)
-    items = [(i, prose(rng, 30, 10**6)) for i in range(12)]
-    rows = [(i, items[i][1], "en", "s", 0) for i in range(12)] + [(50, prose(rng, 50, 10**6), "en", "s", 0)]
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 90)
-    got = decontaminate.overlaps(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r["doc_id"]: r["item_ids"] for r in got.collect()} == {**{i: [i] for i in range(12)}, 50: []}
+    items = [(i, prose(rng, 30, 10**6)) for i in range(12)] + [(3, None), (20, "of the")]
+    rows = [(i, items[i][1], "en", "s", 0) for i in range(12)] + [(50, prose(rng, 50, 10**6), "en", "s", 0), (0, prose(rng, 50, 10**6), "en", "s", 0), (None, items[1][1], "en", "s", 0), (None, "of the " * 30, "en", "s", 0)]
+    rows += [rows[0], (60, "x " * 9000 + items[2][1] + " y" * 9000, "en", "s", 0), (61, items[2][1] + "\n" + items[3][1], "en", "s", 0)]
+    docs, bench = clashing(spark.createDataFrame(rows, DOCS)), spark.createDataFrame(items, "item_id long, text string")
+    want = [(r[0], sorted(i for i, t in items if t and t in r[1] and len(t) > 10)) for r in rows]
+    got = decontaminate.overlaps(docs, bench).collect()
+    assert sorted(((r["doc_id"], r["item_ids"]) for r in got), key=repr) == sorted(want, key=repr)
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.drop_overlapping(docs, bench).collect()]
+    assert sorted(left, key=repr) == sorted(((r[0], r[1]) for r, (_, ids) in zip(rows, want, strict=True) if not ids), key=repr)
 
 
 def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
@@ -224,3 +260,75 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     want = {r[0]: r[1] for r in cut if roots[r[0]] == r[0] and item not in r[1]}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["decoded_sha256"] for r in got} == {i: spark.range(1).select(F.sha2(F.lit(t), 256)).first()[0] for i, t in want.items()}
+
+
+def test_pipeline_takes_odd_tables(spark, tmp_path):
+    """Null ids, unlike texts under one id, repeated rows and clashing columns; then empty tables."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(22)
+    texts = [prose(rng, 50, 10**6) for _ in range(8)]
+    item = prose(rng, 30, 10**6)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, None), (None, None), (7, ""), (8, texts[4] + " more"), (9, texts[4]), (10, f"{texts[5]} {item}"), (None, item), (11, texts[6].upper())]
+    docs = clashing(spark.createDataFrame([(*r, None, "s", 0) for r in rows], DOCS))
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    bench = spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (8, texts[4] + " more"), (11, texts[6].upper())]
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    digest = lambda t: spark.range(1).select(F.sha2(F.lit(t), 256)).first()[0]
+    assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in got), key=repr) == sorted(((i, digest(t)) for i, t in want), key=repr)
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, f"{tmp_path}/a")
+        assert held.columns == docs.columns, name
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    bench.limit(0).write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.parametrize("seed", [33, 34, 35])
+def test_a_hot_key_loses_no_link(spark, monkeypatch, seed):
+    """One large family in chunks and tiles, copies on both sides of the law, as all pairs give them."""
+    from tessel.llm import buckets
+
+    monkeypatch.setattr(buckets, "CHUNK", 7)
+    monkeypatch.setattr(buckets, "ENTRIES", 500)
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        other = list(base)
+        for k in rng.sample(range(40), rng.choice([1, 2, 3, 4, 5])):
+            other[k] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other), "en", "s", 0))
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    want = components(rows, 2, 80)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, 2).collect()}
+    assert got == want
+    lines = {k: v for k, v in _line_groups(rows).items() if k != v}
+    found = {(r["doc_id"], r["line"]): (r["keep_doc"], r["keep_line"]) for r in line_dedup.duplicate_lines(df).collect()}
+    assert found == lines
+
+
+def test_recall_of_bands():
+    """Of pairs at the least similarity at most 2 in 1000 share no band, in lines and in documents."""
+    import numpy as np
+
+    from tessel.llm.shingles import MinHash
+
+    rng = np.random.default_rng(5)
+    n, shared = 3000, 160
+    bands, hasher = MinHash(line_dedup.BANDS, line_dedup.ROWS), MinHash(line_dedup.SAMPLES, 1, seed=9)
+    near = MinHash(near_dup.BANDS, near_dup.ROWS)
+    missed = [0, 0]
+    for _ in range(n):
+        both, own = rng.integers(0, 2**64, shared, dtype=np.uint64), rng.integers(0, 2**64, (2, shared // 8), dtype=np.uint64)
+        sets = [np.concatenate([both, own[k]]) for k in (0, 1)]  # 160 of 200
+        # Lines are sampled by their factors alone.
+        lines = [bands.band_keys(line_dedup.banded(((s >> np.uint64(32)).astype(np.uint32)[:, None] * hasher.a).min(axis=0)[None])) for s in sets]
+        docs = [near.band_keys(near.samples(s)[None]) for s in sets]
+        missed[0] += not (lines[0] == lines[1]).any()
+        missed[1] += not (docs[0] == docs[1]).any()
+    assert missed[0] <= 0.004 * n and missed[1] <= 0.002 * n
