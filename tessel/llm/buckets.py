@@ -44,17 +44,38 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(keys)))
 
 
+def _ordered(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and ids in the order of the keys."""
+    low = int(keys.min()) if len(keys) else 0
+    bits = max(len(keys) - 1, 0).bit_length()
+    if not len(keys) or (int(keys.max()) - low) >> (64 - bits):
+        order = np.argsort(keys)
+        return keys[order], ids[order]
+    # Where a key and its place share a word, words are sorted: cheaper than sorting places by keys.
+    held = (keys - np.uint64(low)) << np.uint64(bits)
+    held |= np.arange(len(keys), dtype=np.uint64)
+    held.sort()
+    return (held >> np.uint64(bits)) + np.uint64(low), ids[(held & np.uint64((1 << bits) - 1)).view(np.int64)]
+
+
 def _chunks(ids: np.ndarray, chunk: int) -> Iterator[list[int]]:
     """The ids in chunks, the first id in front of each."""
     for i in range(1, len(ids), chunk):
         yield [int(ids[0]), *ids[i : i + chunk].tolist()]
 
 
+def _dealing(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The high 48 bits of all keys in ascending order, and the id that has each."""
+    if len(ids) > 1 << 16:
+        return _ordered((keys >> np.uint64(16)).ravel(), np.repeat(ids, keys.shape[1]))
+    held = (keys & ~np.uint64(0xFFFF) | np.arange(len(ids), dtype=np.uint64)[:, None]).ravel()
+    held.sort()
+    return held >> np.uint64(16), ids[(held & np.uint64(0xFFFF)).view(np.int64)]
+
+
 def _dealt(ids: np.ndarray, keys: np.ndarray, parts: int, chunk: int) -> Iterator[dict]:
     """Rows of packed entries for each part, and chunks of the keys that are common already here."""
-    flat, who = (keys >> np.uint64(16)).ravel(), np.repeat(ids, keys.shape[1])
-    order = np.argsort(flat)
-    flat, who = flat[order], who[order]
+    flat, who = _dealing(ids, keys)
     at, n = _runs(flat)
     keep, hot = np.ones(len(flat), bool), []
     for a, k in zip(at[n > chunk], n[n > chunk], strict=True):
@@ -94,8 +115,7 @@ def _met(rows: list[dict], chunk: int) -> Iterator[tuple[int | None, list[int]]]
     """(bid, set) of the keys that several nodes have; bid names a key whose set is in several chunks."""
     keys, ids = (np.concatenate(x) for x in zip(*map(_entries, rows), strict=True))
     hot = np.concatenate([np.frombuffer(r["hot"], "<u8") for r in rows])
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
+    keys, ids = _ordered(keys, ids)
     at, n = _runs(keys)
     several = np.repeat(n > 1, n)
     keys, ids = keys[several], ids[several]

@@ -40,38 +40,48 @@ def lines_of(text: bytes) -> Iterator[tuple[int, bytes]]:
             yield k, b" ".join(words)
 
 
-def _windows(lines: list[str], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash for each run of WIDTH code points of the lines in a row, and where each line's shingles begin and end there."""
+def _windows(lines: list[str], kind: type, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each run of WIDTH code points within a line, line after line, and how many each line has."""
     padded = [x if len(x) >= WIDTH else x.ljust(WIDTH, "\n") for x in lines]  # no line holds a line feed
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind, copy=False)
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(points) - WIDTH + 1
     step, half = (kind(0x9E3779B1), kind(15)) if kind is np.uint32 else (kind(0x9E3779B97F4A7C15), kind(31))
-    grams = points[:n] * step
-    for j in range(1, WIDTH):
-        grams += points[j : j + n]
-        grams *= step
-        grams ^= grams >> half
-    grams *= step
-    grams ^= grams >> half
-    sizes = np.array([len(x) for x in padded])
-    ends = np.cumsum(sizes)
-    return grams, ends - sizes, ends - WIDTH + 1
+    grams, spare = np.empty(n, kind), np.empty(block, kind)
+    for k in range(0, n, block):  # a block stays in the cache
+        out = grams[k : k + block]
+        size, held = len(out), spare[: len(out)]
+        part = points[k : k + size + WIDTH - 1].astype(kind, copy=False)
+        np.multiply(part[:size], step, out=out)
+        for j in range(1, WIDTH):
+            out += part[j : j + size]
+            out *= step
+            out ^= np.right_shift(out, half, out=held)
+        out *= step
+        out ^= np.right_shift(out, half, out=held)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    own = np.ones(n, bool)
+    over = np.cumsum(sizes)[:-1]
+    for j in range(1, WIDTH):  # the windows over two lines
+        own[over - j] = False
+    return grams[own], sizes - WIDTH + 1
 
 
 def signatures(lines: list[str], hasher: MinHash, block: int = 1 << 15) -> np.ndarray:
     """The MinHash samples of each line's shingles: (lines, samples)."""
-    grams, begins, tops = _windows(lines, np.uint32)
+    grams, sizes = _windows(lines, np.uint32)
+    tops = np.cumsum(sizes)
+    begins = tops - sizes
     out = np.empty((len(lines), hasher.count), np.uint32)
     k = 0
     while k < len(lines):
         to = max(k + 1, int(np.searchsorted(tops, begins[k] + block, "right")))
-        # Even places are the lines' shingles, odd ones the windows over two lines.
-        cut = np.column_stack([begins[k:to], tops[k:to]]).ravel()[:-1] - begins[k]
+        cut = begins[k:to] - begins[k]
         part = grams[begins[k] : tops[to - 1]]
-        held = np.empty_like(part)
+        held, least = np.empty_like(part), np.empty((hasher.count, to - k), np.uint32)
         for j in range(hasher.count):
             np.multiply(part, hasher.a[j], out=held)  # a permutation, the factor being odd
-            out[k:to, j] = np.minimum.reduceat(held, cut)[::2]
+            np.minimum.reduceat(held, cut, out=least[j])
+        out[k:to] = least.T
         k = to
     return out
 
@@ -85,10 +95,8 @@ def banded(samples: np.ndarray) -> np.ndarray:
 
 def shingle_sets(lines: list[str]) -> buckets.Sets:
     """The sets of shingles of up to LOT lines."""
-    grams, begins, tops = _windows(lines, np.uint64)
-    sizes = tops - begins
-    at = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-    return buckets.Sets(grams[at], np.repeat(np.arange(len(lines)), sizes), len(lines))
+    grams, sizes = _windows(lines, np.uint64)
+    return buckets.Sets(grams, np.repeat(np.arange(len(lines), dtype=np.uint64), sizes), len(lines))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                 before = len(names)
                 for number, line in lines_of(text or b""):
                     name = known.get(line)
-                    first.append(None if name else line.decode())
+                    first.append(None if name else line)
                     if name is None:
                         digest = xxhash.xxh3_128_intdigest(line)
                         name = known[line] = (digest >> 64) - 2**63, (digest & 0xFFFFFFFF) - 2**31

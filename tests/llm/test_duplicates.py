@@ -3,13 +3,15 @@
 import collections
 import itertools
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from fixtures import DOCS, clashing, components, edge_rows, family_rows, prose, words
 
-from tessel.llm import decontaminate, line_dedup, near_dup
-from tessel.llm.shingles import NOT_WORD, word_hashes
+from tessel.llm import buckets, decontaminate, line_dedup, near_dup
+from tessel.llm.shingles import NOT_WORD, MinHash, word_hashes
 from tessel.session import ship
 
 
@@ -332,3 +334,57 @@ def test_recall_of_bands():
         missed[0] += not (lines[0] == lines[1]).any()
         missed[1] += not (docs[0] == docs[1]).any()
     assert missed[0] <= 0.004 * n and missed[1] <= 0.002 * n
+
+
+def test_shingles_of_lines_lie_within_them():
+    rng = random.Random(41)
+    lines = ["a", "ab", "abcd", "abcde", "abcdef", "\U0001f600x", "é" * 40, "ab" * 20000, *(prose(rng, rng.randrange(1, 60), 500) for _ in range(300)), "z"]
+    runs = [[x.ljust(line_dedup.WIDTH, "\n")[k : k + line_dedup.WIDTH] for k in range(max(1, len(x) - line_dedup.WIDTH + 1))] for x in lines]
+    for kind in (np.uint32, np.uint64):
+        grams, sizes = line_dedup._windows(lines, kind, block=64)
+        assert sizes.tolist() == [len(x) for x in runs] and len(grams) == sum(sizes)
+        names = {}
+        assert all(names.setdefault(run, g) == g for run, g in zip(itertools.chain(*runs), grams.tolist(), strict=True))
+        assert len(set(names.values())) == len(names)
+    hasher = MinHash(line_dedup.SAMPLES, 1, seed=9)
+    grams, sizes = line_dedup._windows(lines, np.uint32)
+    ends = np.cumsum(sizes)
+    want = np.array([[(grams[a:b] * x).min() for x in hasher.a] for a, b in zip(ends - sizes, ends, strict=True)])
+    for block in (1, 300, 1 << 15):
+        assert (line_dedup.signatures(lines, hasher, block) == want).all()
+    sets = line_dedup.shingle_sets(lines)
+    assert sets.sizes.tolist() == [len(set(x)) for x in runs]
+
+
+def test_entries_come_in_the_order_of_their_keys():
+    rng = np.random.default_rng(42)
+    for n, bands, top in ((1, 1, 2**64 - 1), (500, 28, 2**64 - 1), (500, 28, 2**20), (70000, 3, 2**64 - 1), (70000, 3, 2**20)):
+        ids, keys = rng.integers(-(2**63), 2**63 - 1, n), rng.integers(0, top, (n, bands), dtype=np.uint64, endpoint=True)
+        want = sorted(zip((keys >> np.uint64(16)).ravel().tolist(), np.repeat(ids, bands).tolist(), strict=True))
+        flat, who = buckets._dealing(ids, keys)
+        assert (flat[1:] >= flat[:-1]).all() and sorted(zip(flat.tolist(), who.tolist(), strict=True)) == want
+    for keys in (np.empty(0, np.uint64), np.array([7], np.uint64), np.full(5, 2**64 - 1, np.uint64), rng.integers(0, 2**64 - 1, 999, dtype=np.uint64), rng.integers(2**40, 2**40 + 50, 999, dtype=np.uint64)):
+        ids = rng.integers(-(2**63), 2**63 - 1, len(keys))
+        got, who = buckets._ordered(keys, ids)
+        assert (got == np.sort(keys)).all()
+        assert sorted(zip(got.tolist(), who.tolist(), strict=True)) == sorted(zip(keys.tolist(), ids.tolist(), strict=True))
+
+
+def test_dealing_costs_less_than_sorting_places_by_keys():
+    rng = np.random.default_rng(43)
+    ids, keys = rng.integers(-(2**63), 2**63 - 1, 35000), rng.integers(0, 2**64 - 1, (35000, 28), dtype=np.uint64)
+
+    def places() -> None:
+        flat, who = (keys >> np.uint64(16)).ravel(), np.repeat(ids, 28)
+        order = np.argsort(flat)
+        flat[order], who[order]
+
+    def cost(run) -> float:
+        spent = []
+        for _ in range(7):
+            start = time.process_time()
+            run()
+            spent.append(time.process_time() - start)
+        return min(spent)
+
+    assert cost(lambda: list(buckets._dealt(ids, keys, 51, 1000))) < cost(places)
