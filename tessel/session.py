@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -40,3 +40,8 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over all cores, for work that costs far more than moving its rows: a small file is read by few tasks, whatever its rows cost after that."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from tessel.session import ship, spread
 
 _FACTOR = "case event_id % 8 when 5 then 2 when 6 then 4 when 7 then 3 else 1 end"
 
@@ -57,19 +64,37 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, TILES_SQL, "events")
 
 
-def payloads(tiles_: DataFrame) -> DataFrame:
-    """(sb_index, data): the samples of each tile in its pixel type, row by row, little-endian."""
-    wide, colour, i = F.col("pixel_type").isin(1, 4), F.col("pixel_type").isin(3, 4), F.col("sb_index")
-
-    def sample(sx, sy, k):
-        eight = F.lpad(F.hex((i * 31 + sx * 7 + sy * 13 + k * 17) % 256), 2, "0")
-        sixteen = F.lpad(F.hex((i * 131 + sx * 1009 + sy * 2003 + k * 4001) % 65536), 4, "0")
-        return F.when(wide, F.concat(F.substring(sixteen, 3, 2), F.substring(sixteen, 1, 2))).otherwise(eight)
-
-    pixel = lambda sx, sy: F.when(colour, F.concat(*[sample(sx, sy, F.lit(k)) for k in range(3)])).otherwise(sample(sx, sy, F.lit(0)))
-    row = lambda sy: F.array_join(F.transform(F.sequence(F.lit(0), F.col("stored_w") - 1), lambda sx: pixel(sx, sy)), "")
-    rows = F.transform(F.sequence(F.lit(0), F.col("stored_h") - 1), row)
-    return tiles_.select("sb_index", F.unhex(F.array_join(rows, "")).alias("data"))
+def samples(batch: pa.RecordBatch) -> pa.Array:
+    """The samples of each tile of a batch in its pixel type, row by row, little-endian."""
+    index, kind, ws, hs = (np.asarray(batch.column(c).fill_null(0).to_numpy(zero_copy_only=False), np.int64) for c in ("sb_index", "pixel_type", "stored_w", "stored_h"))
+    wide, colour = np.isin(kind, (1, 4)), np.isin(kind, (3, 4))
+    size = np.where(batch.column("sb_index").is_null().to_numpy(zero_copy_only=False), 0, ws * hs * np.where(wide, 2, 1) * np.where(colour, 3, 1))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    alike = np.stack([wide, colour, ws, hs])
+    for key in np.unique(alike[:, size > 0], axis=1).T:
+        two, three, w, h = (int(v) for v in key)
+        each = np.flatnonzero((alike == key[:, None]).all(axis=0) & (size > 0))
+        factors, most = ((131, 1009, 2003, 4001), 65536) if two else ((31, 7, 13, 17), 256)
+        sy, sx, k = np.ogrid[0:h, 0:w, 0 : 3 if three else 1]
+        place = (sx * factors[1] + sy * factors[2] + k * factors[3]).reshape(1, -1)
+        values = ((index[each, None] * factors[0] + place) % most).astype("<u2" if two else np.uint8)
+        out[(ends - size)[each, None] + np.arange(size[each[0]])] = values.view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(out)])
+
+
+def payloads(tiles_: DataFrame, beside: bool = False) -> DataFrame:
+    """(sb_index, data): the samples of each tile in its pixel type, row by row, little-endian. beside: all columns of the tiles, and data."""
+    ship(tiles_.sparkSession)
+    need = ["sb_index", "pixel_type", "stored_w", "stored_h"]
+    kept = tiles_.columns if beside else ["sb_index"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), samples(batch)], [*kept, "data"])
+
+    taken = tiles_ if beside else tiles_.select(*need)
+    return spread(taken).mapInArrow(rows, StructType([*(tiles_.schema[c] for c in kept), StructField("data", BinaryType())]))
 
 
 def masks(tiles_: DataFrame) -> DataFrame:

@@ -258,3 +258,23 @@ def test_generated_mosaics(spark):
     d = mutations.synthetic_document(spark, {"c": (0, 2)}, 2, 3, (10, 8), 0.15)
     assert d.count() == 12 and {tuple(r) for r in d.where("dim_c = 0 and m_index = 5").select("x", "y").collect()} == {(20 - 3, 8 - 1)}
     assert mutations.all_coordinates(spark, {}).count() == 0
+
+
+def test_payloads_are_made_on_all_cores(spark):
+    """By the rule, for each pixel type and size, though the tiles come in one partition."""
+    from tessel.sources import tables
+
+    rows = [(i * 40503, (0, 1, 3, 4)[i % 4], 3 + i % 2, 2) for i in range(16)]
+    tiles = spark.createDataFrame(rows, "sb_index long, pixel_type int, stored_w int, stored_h int").coalesce(1)
+    made = tables.payloads(tiles)
+    assert made.rdd.getNumPartitions() > 1
+    got = {r["sb_index"]: bytes(r["data"]) for r in made.collect()}
+    for i, kind, w, h in rows:
+        want = b""
+        for sy in range(h):
+            for sx in range(w):
+                for k in range(3 if kind >= 3 else 1):
+                    want += ((i * 131 + sx * 1009 + sy * 2003 + k * 4001) % 65536).to_bytes(2, "little") if kind in (1, 4) else bytes([(i * 31 + sx * 7 + sy * 13 + k * 17) % 256])
+        assert got[i] == want
+    beside = tables.payloads(tiles, beside=True)
+    assert beside.columns == [*tiles.columns, "data"] and {(r["sb_index"], r["pixel_type"], bytes(r["data"])) for r in beside.collect()} == {(i, k, got[i]) for i, k, *_ in rows}
