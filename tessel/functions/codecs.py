@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +37,23 @@ def _sized(data: bytes, size: int, strict: bool) -> bytes:
     return data[:size].ljust(size, b"\0")
 
 
+@lru_cache(8)
+def _packer(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
+@lru_cache(1)
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def encode(data: bytes, method: str, pixel_type: str = "Gray8", level: int = 1, hi_lo: bool = False) -> bytes:
     """A payload by "UnCompressed", "Zstd0" or "Zstd1"; hi_lo is for Zstd1 of 16-bit samples."""
     if method == "UnCompressed":
         return data
     if method not in ("Zstd0", "Zstd1"):
         raise NotImplementedError(f"no codec for {method}")
-    level = min(max(level, -131072), zstandard.MAX_COMPRESSION_LEVEL)
-    packer = zstandard.ZstdCompressor(level=level)
+    packer = _packer(min(max(level, -131072), zstandard.MAX_COMPRESSION_LEVEL))
     if method == "Zstd0":
         return packer.compress(data)
     if hi_lo and pixel_type in ("Gray16", "Bgr48"):
@@ -72,7 +82,7 @@ def decode(data: bytes, method: str, w: int, h: int, pixel_type: str = "Gray8",
         raise ValueError("the frame does not state its size")
     if strict and known != size:
         raise ValueError(f"{known} bytes where {size} are needed")
-    out = zstandard.ZstdDecompressor().decompress(body)
+    out = _unpacker().decompress(body)
     if packed:
         if pixel_type not in ("Gray16", "Bgr48"):
             raise ValueError("packed bytes need 16-bit samples")
