@@ -278,3 +278,55 @@ def test_payloads_are_made_on_all_cores(spark):
         assert got[i] == want
     beside = tables.payloads(tiles, beside=True)
     assert beside.columns == [*tiles.columns, "data"] and {(r["sb_index"], r["pixel_type"], bytes(r["data"])) for r in beside.collect()} == {(i, k, got[i]) for i, k, *_ in rows}
+
+
+def _entries(rng, n):
+    """Directory entries, some of them unusual."""
+    out = []
+    for i in range(n):
+        row = dict.fromkeys((*DIM_COLUMNS, "m_index")) | {"x": rng.randint(-9, 9), "y": i, "w": 4, "h": 3, "stored_w": 4, "stored_h": 3, "pixel_type": i % 5, "compression_raw": 0, "pyramid_type": i % 3}
+        row |= {c: rng.randint(-5, 5) for c in (*DIM_COLUMNS, "m_index") if rng.random() < 0.5}
+        entry = bytearray(container._entry(row, i * 1000))
+        if i % 7 == 0:  # a letter in lower case, a name of two letters, a size
+            container.DIMENSION.pack_into(entry, container.ENTRY.size, *((b"x ", 3, 8, 3.0, 4), (b"XQ", 1, 2, 1.0, 2), (b"X", 1, 5, 1.0, 5))[i // 7 % 3])
+        out.append(bytes(entry))
+    return out
+
+
+def test_entries_by_column_are_those_by_row():
+    entries = _entries(random.Random(4), 200)
+    starts = [sum(map(len, entries[:k])) for k in range(len(entries))]
+    got = container.columns_of(b"".join(entries), starts)
+    for k, at in enumerate(starts):
+        row, size = container.entry_of(b"".join(entries), at)
+        assert size == len(entries[k]) and row == {c: None if v.mask[k] else int(v[k]) for c, v in got.items()}
+    with pytest.raises(container.FormatError):
+        container.columns_of(b"".join(entries), starts, strict=True)
+    with pytest.raises(container.FormatError):
+        container.columns_of(b"DE" + entries[0][2:], [0])
+
+
+def test_a_run_reads_its_own_part_of_the_directory(tmp_path, monkeypatch):
+    """What all partitions read, and what a document under construction holds, is in proportion to the tiles."""
+    rng, path = random.Random(3), str(tmp_path / "many.tiles")
+    names = [c.split(" ")[0] for c in SUBBLOCKS.split(", ")]
+    rows = [tile(i, i, 0, 1, 1, m=i if rng.random() < 0.5 else None, c=0) for i in range(3000)]
+    new = container.Appender()
+    for r in rows:
+        new.add(container.Tile(dict(zip(names, r, strict=True)), b"d"))
+    assert new.n == 3000 and not any(isinstance(v, (list, bytes)) and len(v) > 100 for v in vars(new).values())
+    new.finish()
+    new.f.seek(0)
+    (tmp_path / "many.tiles").write_bytes(new.f.read())
+    read = [0]
+    at = container.File.at
+    monkeypatch.setattr(container.File, "at", lambda self, offset, size: read.__setitem__(0, read[0] + len(out := at(self, offset, size))) or out)
+    monkeypatch.setattr(container, "PIECE", 6000)
+    for table in ("headers", "tiles", "subblocks"):
+        reader = container._Reader({"path": path, "table": table, "tiles_per_partition": "30", "roi": "0,0,9,1"})
+        parts = reader.partitions()
+        read[0], got = 0, [i for p in parts for b in reader.read(p) for i in b.column("sb_index").to_pylist()]
+        assert len(parts) == 100 and got == list(range(9))
+        assert read[0] < 3000 * 120 + len(parts) * 7000
+    everything = container._Reader({"path": path, "table": "headers", "tiles_per_partition": "30"})
+    assert [i for p in everything.partitions() for b in everything.read(p) for i in b.column("m_index").to_pylist()] == [r[10] for r in rows]
