@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import metadata
 from tessel.plans.core import query
+from tessel.session import spread
 
 
 @dataclass
@@ -82,7 +83,7 @@ def _xml(node: Node) -> Column:
 
 def _documents(spark, d) -> DataFrame:
     """A document for each customer with two channels."""
-    each = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    each = spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")).select(F.col("c_custkey").alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
     own = each.select("k", F.struct("i", _xml(Node("Channel", children=_TREE)).alias("x")).alias("c"))
     return own.groupBy("k").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["x"]), "").alias("xml")).select(  # two channels
         F.col("k").alias("doc_id"), F.concat(F.lit("<ImageDocument><Metadata><Information><Image><Dimensions><Channels>"), "xml", F.lit("</Channels></Dimensions></Image></Information></Metadata></ImageDocument>")).alias("xml")
@@ -119,7 +120,7 @@ def _axes(spark, d) -> DataFrame:
     z = F.concat(F.lit("<Z>"), maybe(3, e("StartPosition", k * 0.5)), where, *more, F.lit("</Z>"))
     t = F.concat(F.lit("<T>"), maybe(3, e("StartTime", F.concat(F.lit("2020-01-0"), k % 9 + 1, F.lit("T00:00:00Z")))), where, F.lit("</T>"))
     xml = F.concat(F.lit("<ImageDocument><Metadata><Information><Image><Dimensions>"), z, t, F.lit("</Dimensions></Image></Information></Metadata></ImageDocument>"))
-    return spark.read.parquet(f"{d}/customer.parquet").select(k.alias("doc_id"), xml.alias("xml"))
+    return spread(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")).select(k.alias("doc_id"), xml.alias("xml"))
 
 
 _INTERVAL = "case when k % 2 = 0 then cast(k % 11 as double) end as interval_start, case when k % 2 = 0 then 0.5::double end as increment, case when k % 2 = 1 then cast(k % 7 as double) end as first, case when k % 2 = 1 then -2.25::double end as last"

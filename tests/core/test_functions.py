@@ -207,3 +207,39 @@ def test_spline_goes_before_gamma(spark):
     a, b = metadata.display_settings(spark.createDataFrame([(1, xml)], "doc_id long, xml string")).orderBy("channel").collect()
     assert a["mode"] == "Spline" and a["points"] == [0.3, 0.4]
     assert (b["mode"], b["tint_r"], b["black"], b["white"], b["enabled"]) == ("Linear", 255, 0.0, 1.0, True)
+
+
+def test_paths_are_read_as_by_xpath(spark):
+    """Odd documents, against the engine's own XPath."""
+    from pyspark.sql import functions as F
+
+    texts = [
+        "<R><A k='1'>x<!-- no --><B>y</B><![CDATA[<z>]]></A><A k='2'> t&amp;&#65; <B/></A></R>",
+        "<R xmlns='u:v'><A k='2'><B>in a namespace</B></A></R>",
+        "<R xmlns:p='u:v'><p:A>other</p:A><A><B p:k='3'>line\r\nend</B></A></R>",
+        "<!DOCTYPE R [<!ENTITY e 'entity'>]><R><A>&e;</A></R>",
+        "<?xml version='1.0' encoding='utf-16'?><R><A k=''>é\U0001f600</A></R>",
+        "<Q/>",
+        "",
+        None,
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "xml string").coalesce(1)
+    xml = F.col("xml")
+    for path in ("A", "A[1]", "A[k=2]", "A[k=2]/B", "A/B[0]", "A[7]"):
+        at = "/*/" + metadata.xpath_of(path)
+        want = F.when(F.xpath_boolean(xml, F.lit(at)), F.xpath_string(xml, F.lit(at)))
+        mark = F.when(F.xpath_boolean(xml, F.lit(at + "/@k")), F.xpath_string(xml, F.lit(at + "/@k")))
+        rows = docs.select(metadata.node_text(xml, path), want, metadata.attribute(xml, path, "k"), mark, metadata.child_count(xml, path), F.xpath_int(xml, F.lit(f"count({at}/*)"))).collect()
+        for r in rows:
+            assert (r[0], r[2], r[4]) == (r[1], r[3], r[5]), (path, r)
+    with pytest.raises(Exception, match="invalid XML|ParseError"):
+        spark.createDataFrame([("<R>",)], "xml string").select(metadata.node_text(xml, "A")).collect()
+
+
+@pytest.mark.parametrize("name", ["z_axis", "t_axis", "xml_axis", "xml_scaling", "xml_document", "xml_path", "xml_channels", "subblock_tags"])
+def test_documents_are_read_on_all_cores_and_once(spark, data, name):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, data)
+    assert df.rdd.getNumPartitions() > 1
+    assert "xpath" not in df._jdf.queryExecution().optimizedPlan().toString()
