@@ -330,3 +330,15 @@ def test_a_run_reads_its_own_part_of_the_directory(tmp_path, monkeypatch):
         assert read[0] < 3000 * 120 + len(parts) * 7000
     everything = container._Reader({"path": path, "table": "headers", "tiles_per_partition": "30"})
     assert [i for p in everything.partitions() for b in everything.read(p) for i in b.column("m_index").to_pylist()] == [r[10] for r in rows]
+
+
+def test_regions_alike_are_compared_once(spark):
+    """Pairs as by hand, with equal rectangles, empty ones and a null name; the join has a row for each distinct rectangle."""
+    rng = random.Random(12)
+    rows = [tile(i, rng.randint(-300, 300), rng.randint(-300, 300), rng.randint(0, 200), rng.randint(1, 90), sw=8, sh=6) for i in range(60)]
+    spots = [(rng.randint(-300, 300), rng.randint(-300, 300), rng.randint(0, 150), 40) for _ in range(10)]
+    rois = [(None if i == 7 else i, *spots[i % 10]) for i in range(200)]
+    got = painter.tiles_of_regions(frame(spark, rows), spark.createDataFrame(rois, "roi_id long, rx int, ry int, rw int, rh int").coalesce(1))
+    want = [(i, t[0]) for i, x, y, w, h in rois for t in rows if w > 0 and t[13] > 0 and min(x + w, t[11] + t[13]) > max(x, t[11]) and min(y + h, t[12] + t[14]) > max(y, t[12])]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
