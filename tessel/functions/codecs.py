@@ -218,12 +218,25 @@ class Bitonal:
 
 
 def decimated(pixels: DataFrame, n: int) -> DataFrame:
-    """Bitonal.decimated() for many bitmaps in long form: pixels (id, w, h, x, y, on) -> (id, x, y, on).
+    """Bitonal.decimated() for many bitmaps in long form: pixels (id, w, h, x, y, on), one row each -> (id, x, y, on).
 
-    Two windows of 2n + 1 rows, first along x and then along y; keys are rows of pixels, never whole tables.
+    Pixels are packed to words of 32 before they move, beside bits of what is known and of what is wanted. What is off is
+    widened along x by shifts, with the words to both sides, and along y by a window of 2n + 1 rows; keys are rows and
+    columns of words, never whole tables.
     """
-    along = lambda *keys: Window.partitionBy("id", *keys)
-    low = lambda w, o: F.min(F.col("on").cast("int")).over(w.orderBy(o).rangeBetween(-n, n))
-    half = pixels.withColumn("on", low(along("y"), "x")).where("x % 2 = 0 and x div 2 < w div 2")
-    out = half.withColumn("on", low(along("x"), "y")).where("y % 2 = 0 and y div 2 < h div 2")
-    return out.select("id", F.expr("cast(x div 2 as int)").alias("x"), F.expr("cast(y div 2 as int)").alias("y"), (F.col("on") == 1).alias("on"))
+    if not 0 <= n <= 7:
+        raise ValueError("a neighbourhood is 0 to 7")
+    bit, word = F.expr("shiftleft(1L, x & 31)"), F.expr("shiftright(cast(x as int), 5)")
+    bits = lambda where, name: F.bit_or(F.when(where, bit).otherwise(F.lit(0).cast("long"))).alias(name)
+    wanted = F.expr("x % 2 = 0 and x div 2 < w div 2 and y % 2 = 0 and y div 2 < h div 2")
+    words = pixels.groupBy("id", "y", word.alias("word")).agg(bits(~F.col("on").cast("boolean"), "off"), bits(F.col("on").isNotNull(), "known"), bits(wanted, "wanted"))
+    row, column = Window.partitionBy("id", "y").orderBy("word"), Window.partitionBy("id", "word").orderBy("y").rangeBetween(-n, n)
+    low = (1 << n) - 1
+    beside = {f"{k}_{side}": F.when(at("word") == F.col("word") + step, at(k)).otherwise(F.lit(0).cast("long")) for k in ("off", "known") for side, step, at in (("left", -1, lambda c: F.lag(c).over(row)), ("right", 1, lambda c: F.lead(c).over(row)))}
+    three = lambda k: f"(shiftright({k}_left, {32 - n}) & {low}L | shiftleft({k}, {n}) | shiftleft({k}_right & {low}L, {32 + n}))"
+    wide = lambda k: F.expr("(" + " | ".join(f"shiftrightunsigned({three(k)}, {d})" for d in range(2 * n + 1)) + ") & 4294967295L")
+    spread_ = words.withColumns(beside).select("id", "y", "word", "wanted", wide("off").alias("off"), wide("known").alias("known"))
+    near = spread_.select("id", "y", "word", "wanted", *[F.bit_or(k).over(column).alias(k) for k in ("off", "known")]).where("wanted <> 0")
+    each = near.withColumn("b", F.explode(F.array(*[F.lit(b) for b in range(0, 32, 2)]))).where("shiftright(wanted, b) & 1 = 1")
+    on = F.expr("case when shiftright(off, b) & 1 = 1 then false when shiftright(known, b) & 1 = 1 then true end")
+    return each.select("id", F.expr("cast(word * 16 + b div 2 as int)").alias("x"), F.expr("cast(y div 2 as int)").alias("y"), on.alias("on"))
