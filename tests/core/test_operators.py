@@ -342,3 +342,11 @@ def test_regions_alike_are_compared_once(spark):
     want = [(i, t[0]) for i, x, y, w, h in rois for t in rows if w > 0 and t[13] > 0 and min(x + w, t[11] + t[13]) > max(x, t[11]) and min(y + h, t[12] + t[14]) > max(y, t[12])]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paint_order_keeps_all_digits(spark):
+    """Tiles of a high scene whose numbers differ by less than a double of their rank can hold."""
+    rows = [tile(i, 0, 0, 16, 12, sw=8, sh=6, c=0, s=s) for i, s in ((526445, 3), (526333, 3), (9, 0))]
+    tiles = frame(spark, rows)
+    image = painter.scaling_composite(tiles, flat(tiles, {526445: 1, 526333: 2, 9: 3}), {"c": 0}, Rect(0, 0, 16, 12), 0.5)
+    assert {r["v"] for r in painter.pixels(image).collect()} == {1}
